@@ -1,10 +1,10 @@
 """All registered queries with their SQL."""
-from . import corpus
+from . import corpus, shuffle
 
 
 def queries():
-    return corpus.queries()
+    return corpus.queries() | shuffle.queries()
 
 
 def oracle_sql():
-    return corpus.oracle_sql()
+    return corpus.oracle_sql() | shuffle.oracle_sql()
