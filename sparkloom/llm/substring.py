@@ -11,7 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import table
 
 WINDOW = 50
 WIDTH_BITS = 28  # counters per sketch row, saturating at two; a fixed bound on what is broadcast (2 rows of 32 MB)
@@ -19,28 +19,46 @@ SLICE_BITS = 22
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _powers(base, n):
-    p = np.empty(n + 1, np.uint64)
-    p[0] = 1
-    p[1:] = base
-    return np.multiply.accumulate(p)
-
-
-def window_hashes(words, window=WINDOW):
-    """Two uint64 arrays, one value per window of consecutive words."""
-    k = len(words) - window + 1
-    if k <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    out = []
-    for seed, base in zip((1, 2), BASES):
-        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
-        v = np.zeros(k, np.uint64)
-        p = _powers(base, window)
-        for j in range(window):
-            v += h[j : j + k] * p[window - 1 - j]
-        v ^= v >> np.uint64(31)
-        out.append(v * np.uint64(0xBF58476D1CE4E5B9))
-    return tuple(out)
+def _roll(h, base, window):
+    """A hash of every run of window values, by doubling."""
+    power, n, out, done, left = np.uint64(base), 1, None, 0, window
+    while left:
+        if left & 1:
+            if out is None:
+                out, done = h, n
+            else:
+                k = len(h) - done
+                out, done = out[:k] * power + h[done:], done + n
+        left >>= 1
+        if left:
+            h = h[:-n] * power + h[n:]
+            power, n = power * power, 2 * n
+    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def window_hashes(texts, window=WINDOW):
+    """(text index, two uint64 hashes) of every window of every text, in order."""
+    words, sizes = [], []
+    for t in texts:
+        w = t.encode().split() if isinstance(t, str) else []
+        words += w
+        sizes.append(len(w))
+    if len(words) < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    g = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    g ^= g >> np.uint64(29)
+    sizes = np.array(sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    ok = np.flatnonzero(text[: len(words) - window + 1] == text[window - 1 :])
+    return text[ok], _roll(h, BASES[0], window)[ok], _roll(g, BASES[1], window)[ok]
+
+
+def _pieces(batches, rows=128):
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
 
 
 def _sketch(batches):
@@ -58,17 +76,14 @@ def _sketch(batches):
                     gaps = gaps.astype(np.uint16) if gaps.max() < 65536 else gaps
                     yield row, s, gaps.itemsize, zlib.compress(gaps.tobytes(), 1), zlib.compress(np.packbits(n > 1).tobytes(), 1)
 
-    for pdf in batches:
-        for text in pdf.text:
-            a, b = window_hashes((text or "").encode().split())
-            if len(a):
-                a, at = np.unique(a, return_index=True)
-                held.append((a, b[at]))
-                size += len(a)
+    for pdf in _pieces(batches):
+        _, a, b = window_hashes(pdf.text)
+        held.append((a, b))
+        size += len(a)
         if size > 4_000_000:
             yield pd.DataFrame(flush(), columns=["r", "s", "w", "gaps", "twice"])
             held, size = [], 0
-    if held:
+    if size:
         yield pd.DataFrame(flush(), columns=["r", "s", "w", "gaps", "twice"])
 
 
@@ -88,62 +103,78 @@ def _merge(batches):
         yield pd.DataFrame([(*key, zlib.compress(np.packbits(twice).tobytes(), 1))], columns=["r", "s", "bits"])
 
 
-def repeated_windows(docs):
-    """(doc_id, at): windows whose sequence also starts in a document with a smaller id."""
-    spark = docs.sparkSession
+def _prefilter(docs):
+    """Broadcast bitmaps of the slots counted twice or more; their size is fixed by WIDTH_BITS."""
     parts = docs.select("text").mapInPandas(_sketch, "r int, s int, w int, gaps binary, twice binary")
     merged = parts.repartition("r", "s").sortWithinPartitions("r", "s").mapInPandas(_merge, "r int, s int, bits binary").collect()
-    bitmap = spark.sparkContext.broadcast({(x.r, x.s): bytes(x.bits) for x in merged})
+    return docs.sparkSession.sparkContext.broadcast({(x.r, x.s): bytes(x.bits) for x in merged})
+
+
+def _bitmaps(packed):
+    maps, n = [np.zeros(1 << (WIDTH_BITS - 3), np.uint8) for _ in (0, 1)], 1 << (SLICE_BITS - 3)
+    for (row, s), z in packed.items():
+        maps[row][s * n : (s + 1) * n] = np.frombuffer(zlib.decompress(z), np.uint8)
+    return maps
 
-    def candidates(batches):
-        maps = []
-        for r in (0, 1):
-            m = np.zeros(1 << (WIDTH_BITS - 3), np.uint8)
-            n = 1 << (SLICE_BITS - 3)
-            for (row, s), z in bitmap.value.items():
-                if row == r:
-                    m[s * n : (s + 1) * n] = np.frombuffer(zlib.decompress(z), np.uint8)
-            maps.append(m)
-        for pdf in batches:
-            for doc_id, text in zip(pdf.doc_id, pdf.text):
-                h = window_hashes((text or "").encode().split())
-                if not len(h[0]) or pd.isna(doc_id):
-                    continue
-                ok = np.ones(len(h[0]), bool)
-                for m, v in zip(maps, h):
-                    slot = (v >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
-                    ok &= (m[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(ok)
-                if len(at):
-                    yield pd.DataFrame({"doc_id": int(doc_id), "at": at.astype(np.int32), "a": h[0][at].view(np.int64), "b": h[1][at].view(np.int64)})
 
-    c = staged(docs.select("doc_id", "text").mapInPandas(candidates, "doc_id long, at int, a long, b long"))
-    first = c.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return c.join(first, ["a", "b"]).where("doc_id > first").select("doc_id", "at")
+def _maybe(maps, hashes):
+    """Windows that the sketch estimates repeated."""
+    at = np.arange(len(hashes[0]))
+    for m, v in zip(maps, hashes):
+        slot = (v[at] >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
+        at = at[(m[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
+    return at
 
 
 def dedup(docs, window=WINDOW):
-    """(doc_id, n_words, n_removed, kept): kept is the text left, words joined by one space."""
-    hits = repeated_windows(docs).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    """(doc_id, n_words, n_removed, kept): kept is the text left, words joined by one space.
 
-    def run(batches):
-        for pdf in batches:
+    The exact pass groups each estimated window to its smallest document. That document gets the hashes it is first for;
+    in every document the other estimated windows are repeats, so no occurrence list is joined or gathered.
+    """
+    packed = _prefilter(docs)
+
+    def candidates(batches):
+        maps = _bitmaps(packed.value)
+        for pdf in _pieces(batches):
+            pdf = pdf[pdf.doc_id.notna()]
+            text, a, b = window_hashes(pdf.text)
+            at = _maybe(maps, (a, b))
+            # a window counts once in a document
+            key = np.unique(np.rec.fromarrays([text[at], a[at], b[at]], names="t,a,b"))
+            yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy()[key.t], "a": key.a.view(np.int64), "b": key.b.view(np.int64)})
+
+    c = docs.select("doc_id", "text").mapInPandas(candidates, "doc_id long, a long, b long")
+    first = c.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("a").alias("first"))
+
+    def cut(batches):
+        maps = _bitmaps(packed.value)
+        for pdf in _pieces(batches):
+            text, a, b = window_hashes(pdf.text)
+            near = _maybe(maps, (a, b))
+            edge = np.searchsorted(text, np.arange(len(pdf) + 1))
+            cand = np.searchsorted(near, edge)
             out = []
-            for text, at in zip(pdf.text, pdf["at"]):
-                words = (text or "").encode().split()
-                if at is None or not len(at):
+            for k, (doc_id, t, first) in enumerate(zip(pdf.doc_id, pdf.text, pdf["first"])):
+                words = t.encode().split() if isinstance(t, str) else []
+                at = near[cand[k] : cand[k + 1]]
+                if len(at) and not pd.isna(doc_id):
+                    if first is not None and len(first):
+                        at = at[~np.isin(a[at], np.asarray(first, np.int64).view(np.uint64))]
+                    at = at - edge[k]
+                else:
+                    at = at[:0]
+                if not len(at):
                     out.append((len(words), 0, b" ".join(words).decode()))
                     continue
                 d = np.zeros(len(words) + 1, np.int64)
-                # equal doc_ids may share this list
-                at = np.asarray(at)
-                np.add.at(d, at, 1)
-                np.add.at(d, at + window, -1)
+                d[at] += 1
+                d[at + window] -= 1
                 gone = np.cumsum(d[:-1]) > 0
                 out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()))
-            yield pdf[["doc_id"]].assign(n_words=[x[0] for x in out], n_removed=[x[1] for x in out], kept=[x[2] for x in out])
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
 
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "at").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.select("doc_id", "text").join(first, "doc_id", "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir):
