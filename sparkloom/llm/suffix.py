@@ -27,9 +27,10 @@ def suffix_array(b):
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | wide[j : j + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
+    key = key[sa]
     rank = np.full(n + 256, -1, np.int64)
-    rank[sa] = _heads(np.r_[True, key[sa][1:] != key[sa][:-1]])
+    rank[sa] = _heads(np.r_[True, key[1:] != key[:-1]])
     while depth < 128:
         r = rank[sa]
         tied = np.zeros(n, bool)
@@ -41,7 +42,7 @@ def suffix_array(b):
             break
         s = sa[at]
         one, two = rank[s], rank[s + depth]
-        order = np.lexsort((two, one))
+        order = np.argsort(one * (n + 2) + two + 1)  # both ranks in one key: a shard is far below 2^31 bytes
         s, one, two = s[order], one[order], two[order]
         sa[at] = s
         new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
