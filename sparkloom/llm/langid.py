@@ -33,13 +33,29 @@ def features(text):
     return total / total.sum()
 
 
-def train(texts, langs, epochs=30, rate=8.0, seed=7):
-    """Fit (classes, embedding, weights, bias, temperature, floor) on rows; temperature and floor on a held fifth."""
+def sparse(text):
+    """Non-zero buckets and their frequencies; None without letters."""
+    f = features(text)
+    if f is None:
+        return None
+    hit = np.flatnonzero(f)
+    return hit.astype(np.int32), f[hit].astype(np.float32)
+
+
+def _dense(rows, which):
+    out = np.zeros((len(which), BUCKETS), np.float32)
+    for i, k in enumerate(which):
+        out[i, rows[k][0]] = rows[k][1]
+    return out
+
+
+def train(rows, langs, epochs=30, rate=8.0, seed=7):
+    """Fit (classes, embedding, weights, bias, temperature, floor) on sparse rows; temperature and floor on a held fifth."""
     classes = sorted(set(langs))
-    rows = [(f, classes.index(y)) for f, y in ((features(t), y) for t, y in zip(texts, langs)) if f is not None]
-    if not rows:
+    both = [(f, classes.index(y)) for f, y in zip(rows, langs) if f is not None]
+    if not both:
         return None
-    x, y = np.array([f for f, _ in rows], np.float32), np.array([k for _, k in rows])
+    x, y = [f for f, _ in both], np.array([k for _, k in both])
     rng = np.random.default_rng(seed)
     e, w, b = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, len(classes))).astype(np.float32), np.zeros(len(classes), np.float32)
     hold = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), bool)
@@ -47,7 +63,8 @@ def train(texts, langs, epochs=30, rate=8.0, seed=7):
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in np.array_split(rng.permutation(fit), max(1, len(fit) // 32)):
-            v = x[k] @ e
+            d = _dense(x, k)
+            v = d @ e
             z = v @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -56,9 +73,10 @@ def train(texts, langs, epochs=30, rate=8.0, seed=7):
             back = p @ w.T
             w -= step / 4 * (v.T @ p)
             b -= step / 80 * p.sum(0)
-            e -= step * 20 * (x[k].T @ back)
+            e -= step * 20 * (d.T @ back)
     check = np.flatnonzero(hold) if hold.any() else fit
-    z = x[check] @ e @ w + b
+    parts = np.array_split(check, max(1, len(check) // 256))
+    z = np.concatenate([_dense(x, k) @ e @ w + b for k in parts])
 
     def prob(t):
         q = np.exp((z - z.max(1, keepdims=True)) / t)
@@ -66,15 +84,32 @@ def train(texts, langs, epochs=30, rate=8.0, seed=7):
 
     temperature = min((-np.log(prob(t)[np.arange(len(check)), y[check]] + 1e-12).mean(), t) for t in (0.25, 0.5, 1, 2, 4, 8))[1]
     # letters outside what training saw are the other sign that a text is none of the classes
-    seen = x.sum(0) > 0
-    known = (x[check] * seen).sum(1)
+    seen = np.zeros(BUCKETS, bool)
+    for hit, _ in x:
+        seen[hit] = True
+    known = np.array([x[k][1][seen[x[k][0]]].sum() for k in check])
     return classes, e, w, b, temperature, {"seen": seen, "share": float(known.min()) * 0.5, "score": float(np.quantile(prob(temperature).max(1), 0.001)) * 0.5}
 
 
 def fit(docs, limit=TRAIN_ROWS):
-    """Train on at most limit rows with a text and a lang, chosen by hash of the id."""
-    rows = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(limit).toPandas()
-    return train(rows.text, rows.lang)
+    """Train on at most limit rows with a text and a lang, chosen by hash of the id.
+
+    The hash cut is found on ids alone; the chosen whole texts become subword counts on the executors, so the driver gets
+    at most limit rows of at most BUCKETS numbers, however long the texts are.
+    """
+    rows = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    cut = rows.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if cut is None:
+        return None
+
+    def count(batches):
+        for pdf in batches:
+            found = [(h, g, t, f) for h, g, t, f in zip(pdf.h, pdf.lang, pdf.t, map(sparse, pdf.text)) if f is not None]
+            yield pd.DataFrame([(h, g, t, f[0], f[1]) for h, g, t, f in found], columns=["h", "lang", "t", "ids", "part"])
+
+    chosen = rows.where(F.col("h") <= cut).withColumn("t", F.xxhash64("text")).mapInPandas(count, "h long, lang string, t long, ids array<int>, part array<float>")
+    got = chosen.orderBy("h", "t", "lang").limit(limit).toArrow()
+    return train([(i.values.to_numpy(), p.values.to_numpy()) for i, p in zip(got["ids"], got["part"])], got["lang"].to_pylist())
 
 
 def predict(docs, model):
