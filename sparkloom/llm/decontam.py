@@ -53,58 +53,101 @@ def _spans(n, stride):
 
 
 def _latent(terms, begin, end, axes):
-    """Unit latent vectors of passages: sums of weighted term rows, by prefix sums."""
-    s = np.zeros((len(terms) + 1, axes.shape[1]))
-    np.cumsum(axes[terms], axis=0, out=s[1:])
-    x = s[end] - s[begin]
+    """Unit latent vectors of passages: sums of weighted term rows between the passages' bounds, then prefix sums of these."""
+    bounds = np.unique(np.concatenate([[0], begin, end]))
+    part = np.add.reduceat(axes[terms], bounds[bounds < len(terms)], axis=0)
+    s = np.zeros((len(part) + 1, axes.shape[1]))
+    np.cumsum(part, axis=0, out=s[1:])
+    x = s[np.searchsorted(bounds, end)] - s[np.searchsorted(bounds, begin)]
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _groups(texts, known, size=1 << 17):
+    """Consecutive texts of about size words: (index of each text, its words, its terms)."""
+    out, n = [], 0
+    for i, t in enumerate(texts):
+        ws = words(t)
+        if ws:
+            out.append((i, ws, _terms(ws, known)))
+            n += len(ws)
+        if n >= size:
+            yield out
+            out, n = [], 0
+    if out:
+        yield out
+
+
+def _chunks(group):
+    """All terms of a group, the STRIDE-word chunk of each, and whether the chunk after it is of the same text."""
+    ids = np.concatenate([t for _, _, t in group])
+    n = np.array([len(t) for _, _, t in group])
+    chunks = -(-n // STRIDE)
+    first = np.cumsum(chunks) - chunks
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+    joined = np.ones(int(chunks.sum()), bool)
+    joined[first + chunks - 1] = False
+    return ids, at // STRIDE + np.repeat(first, n), joined
+
+
 def fit(docs, rank=RANK, seed=5):
-    """Latent axes weighted by inverse document frequency: one pass for frequencies, one for the sketch."""
-    size = 1 << TERM_BITS
-
-    def frequencies(batches):
-        n, seen, known = 0, np.zeros(size), {}
-        for pdf in batches:
-            for t in pdf.text:
-                ids = _terms(words(t), known)
-                for b, e in zip(*_spans(len(ids), STRIDE)):
-                    seen[np.unique(ids[b:e])] += 1
-                    n += 1
-        yield pd.DataFrame({"m": [np.append(seen, n)]})
-
-    def total(run, n):
-        out = np.zeros(n)
-        for r in docs.select("text").mapInPandas(run, "m array<double>").toLocalIterator():
-            out += np.asarray(r.m)
-        return out
-
-    f = total(frequencies, size + 1)
-    idf = np.log((1 + f[-1]) / (1 + f[:-1]))
+    """Latent axes weighted by inverse document frequency: one pass for frequencies, one for the sketch.
+
+    A passage here is a chunk of STRIDE words with the chunk after it, the last one alone. Partial sums meet by term block
+    in a shuffle that adds them as they stream by; the driver gets one array of fixed size.
+    """
+    size, blocks = 1 << TERM_BITS, 32
+
+    def total(width, add):
+        def run(batches):
+            out, known = np.zeros((size, width)), {}
+            for pdf in batches:
+                for group in _groups(pdf.text, known):
+                    add(out, *_chunks(group))
+            yield pd.DataFrame({"k": range(blocks), "m": [x.ravel().astype(np.float32) for x in np.split(out, blocks)]})
+
+        def fold(batches):
+            k, s = None, None
+            for pdf in batches:
+                for key, m in zip(pdf.k, pdf.m):
+                    if key != k:
+                        if k is not None:
+                            yield pd.DataFrame({"k": [k], "m": [s.astype(np.float32)]})
+                        k, s = key, np.zeros(len(m))
+                    s += m
+            if k is not None:
+                yield pd.DataFrame({"k": [k], "m": [s.astype(np.float32)]})
+
+        kind = "k int, m array<float>"
+        got = docs.select("text").mapInPandas(run, kind).repartition("k").sortWithinPartitions("k").mapInPandas(fold, kind).toArrow()
+        out = np.zeros((blocks, size // blocks * width))
+        for k, m in zip(got["k"].to_pylist(), got["m"]):
+            out[k] = m.values.to_numpy()
+        return out.reshape(size, width)
+
+    def frequencies(out, ids, chunk, joined):
+        before = np.append(False, joined)[chunk]
+        key = np.unique(np.concatenate([chunk * size + ids, (chunk[before] - 1) * size + ids[before]]))
+        out[:, 0] += np.bincount(key % size, minlength=size)
+        out[0, 1] += len(joined)
+
+    f = total(2, frequencies)
+    n = f[0, 1]
+    idf = np.log((1 + n) / (1 + f[:, 0]))
     omega = np.random.default_rng(seed).normal(size=(size, rank)) * idf[:, None]
     shared = docs.sparkSession.sparkContext.broadcast((idf.astype(np.float32), omega.astype(np.float32)))
 
-    def sketch(batches):
-        w, o = shared.value
-        out, known = np.zeros((size, rank)), {}
-        for pdf in batches:
-            for t in pdf.text:
-                ids = _terms(words(t), known)
-                if not len(ids):
-                    continue
-                begin, end = _spans(len(ids), STRIDE)
-                s = np.zeros((len(ids) + 1, rank))
-                np.cumsum(o[ids], axis=0, out=s[1:])
-                y = s[end] - s[begin]
-                # each term gets the sum of the rows of the passages that hold it
-                d = np.zeros((len(ids) + 1, rank))
-                np.add.at(d, begin, y)
-                np.add.at(d, end, -y)
-                np.add.at(out, ids, np.cumsum(d[:-1], axis=0))
-        yield pd.DataFrame({"m": [(out * w[:, None]).ravel()]})
-
-    q, _ = np.linalg.qr(total(sketch, size * rank).reshape(size, rank))
+    def sketch(out, ids, chunk, joined):
+        y = np.add.reduceat(shared.value[1][ids], np.flatnonzero(np.diff(chunk, prepend=-1)), axis=0)
+        y[:-1] += y[1:] * joined[:-1, None]
+        z = y.copy()
+        z[1:] += y[:-1] * joined[:-1, None]
+        # each term gets the sum of the rows of the passages that hold it
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        term = ids[order]
+        start = np.flatnonzero(np.diff(term, prepend=-1))
+        out[term[start]] += np.add.reduceat(z[chunk[order]], start, axis=0)
+
+    q, _ = np.linalg.qr(total(rank, sketch) * idf[:, None])
     return q * idf[:, None]
 
 
@@ -137,38 +180,66 @@ def matches(docs, benchmark, axes=None):
                 rows += [(item, ws[b:e], ws[-ANSWER_WORDS:]) for b, e in zip(begin.tolist(), end.tolist())]
         if not rows:
             return None
-        shared = spark.sparkContext.broadcast((axes.astype(np.float32), rows, np.concatenate(vecs)))
+        voc = np.unique(np.concatenate([_terms(p, known) for _, p, _ in rows]))
+        held = np.zeros((len(voc), len(rows)), np.uint8)
+        for j, (_, p, _) in enumerate(rows):
+            np.add.at(held[:, j], np.searchsorted(voc, _terms(p, known)), 1)
+        shared = spark.sparkContext.broadcast((axes.astype(np.float32), rows, np.concatenate(vecs).astype(np.float32), voc, held))
 
         def run(batches):
-            ax, rows, q = shared.value
-            known = {}
+            ax, rows, q, voc, held = shared.value
+            known, length = {}, np.array([len(p) for _, p, _ in rows])
+            answers = [b" ".join(a) for _, _, a in rows]
+            place = np.full(1 << TERM_BITS, -1, np.int64)
+            place[voc] = np.arange(len(voc))
+            step = max(64, (1 << 18) // len(rows))
+
+            def could(ids, lo, hi):
+                """Words of each part found in each window, an upper bound of their longest common subsequence."""
+                n = hi - lo
+                win = np.repeat(np.arange(len(n)), n)
+                c = place[ids[np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]]
+                key = np.unique((win * len(voc) + c)[c >= 0])
+                out = np.zeros((len(n), len(rows)), np.uint8)
+                if len(key):
+                    win = key // len(voc)
+                    start = np.flatnonzero(np.diff(win, prepend=-1))
+                    out[win[start]] = np.add.reduceat(held[key % len(voc)], start, axis=0, dtype=np.uint8)
+                return out
+
             for pdf in batches:
-                out = []
-                for doc_id, text in zip(pdf.doc_id, pdf.text):
-                    ws = words(text)
-                    if not ws:
-                        continue
-                    begin, end = _spans(len(ws), STRIDE)
-                    ids, best = _terms(ws, known), {}
-                    for lo in range(0, len(begin), 4096):
-                        s, e = begin[lo : lo + 4096], end[lo : lo + 4096]
-                        off = int(s[0])
-                        cos = _latent(ids[off : int(e[-1])], s - off, e - off, ax) @ q.T
-                        for i, j in zip(*(x.tolist() for x in np.nonzero(cos >= COSINE))):
-                            item, part, answer = rows[j]
-                            if (item in best and best[item][1] >= SHARE):
+                out, doc_ids = [], pdf.doc_id.tolist()
+                for group in _groups(pdf.text, known):
+                    ids, off, span = np.concatenate([t for _, _, t in group]), 0, []
+                    for k, (_, ws, _) in enumerate(group):
+                        s, e = _spans(len(ws), STRIDE)
+                        span.append(np.stack([s + off, e + off, np.maximum(0, s - STRIDE) + off, np.minimum(len(ws), e + STRIDE) + off, np.full(len(s), k), np.full(len(s), off)]))
+                        off += len(ws)
+                    span, best = np.concatenate(span, 1), {}
+                    for at in range(0, span.shape[1], step):
+                        s, e, lo, hi, doc, base = span[:, at : at + step]
+                        cos = _latent(ids[s[0] : e[-1]], s - s[0], e - s[0], ax) @ q.T
+                        most = could(ids, lo, hi) / length
+                        near_to, text = None, b""
+                        for i, j in zip(*(x.tolist() for x in np.nonzero((cos >= COSINE) & (most >= SHARE_WITH_ANSWER)))):
+                            item, part, _ = rows[j]
+                            k = int(doc[i])
+                            if best.get((k, item), (0, 0))[1] >= SHARE:
                                 continue
-                            near = ws[max(0, int(s[i]) - STRIDE) : int(e[i]) + STRIDE]
-                            share = lcs(part, near) / len(part)
-                            if share < SHARE_WITH_ANSWER:
+                            if near_to != i:
+                                near = group[k][1][int(lo[i] - base[i]) : int(hi[i] - base[i])]
+                                near_to, text = i, b" ".join(near)
+                            found = answers[j] in text
+                            if not found and most[i, j] < SHARE:
                                 continue
-                            found = b" ".join(answer) in b" ".join(near)
-                            if share >= SHARE or found:
+                            share = lcs(part, near) / len(part)
+                            if share >= SHARE or (found and share >= SHARE_WITH_ANSWER):
                                 c = (float(cos[i, j]), share, found)
-                                if item not in best or c[1] > best[item][1]:
-                                    best[item] = c
-                    out += [(doc_id, item, *c) for item, c in best.items()]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "share", "answer"])
+                                if (k, item) not in best or c[1] > best[k, item][1]:
+                                    best[k, item] = c
+                    out += [(doc_ids[group[k][0]], item, *c) for (k, item), c in best.items()]
+                got = pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "share", "answer"])
+                yield got.astype({"doc_id": "Int64", "item_id": "Int64"})
 
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, item_id long, cosine double, share double, answer boolean")
 
