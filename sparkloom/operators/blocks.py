@@ -126,3 +126,23 @@ def as_of_join(left, right, key, left_ts, right_ts, value):
     r = right.select(key, F.col(right_ts).alias("__t"), F.col(value).alias("__v"), F.lit(0).alias("__side"))
     w = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     return l.unionByName(r, allowMissingColumns=True).withColumn(f"asof_{value}", F.last("__v", True).over(w)).where("__side = 1").drop("__t", "__v", "__side")
+
+
+def assign_continuous(spark, partitions, per_range, servers, replicas, concurrency):
+    """(start_partition, end_partition, replica, server): neighbouring ranges share a server while the concurrency allows.
+
+    The group of a range is a closed form of its number: full rounds give each server `wide` ranges in a row, and the last
+    round deals what is left as evenly as it goes.
+    """
+    n, total = len(servers), -(-partitions // per_range)
+    wide = max(1, min(concurrency, partitions) // (n * per_range))
+    full = total // (wide * n) * n
+    least, extra = divmod(total - full * wide, n)
+    i, rest = F.col("id"), F.col("id") - full * wide
+    div = lambda c, by: F.floor(c / max(1, by))
+    tail = F.when(rest < extra * (least + 1), div(rest, least + 1)).otherwise(extra + div(rest - extra * (least + 1), least))
+    group = F.when(i < full * wide, div(i, wide)).otherwise(full + tail)
+    ids = F.array(*[F.lit(s) for s in servers])
+    r = spark.range(total).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    return r.select((i * per_range).alias("start_partition"), ((i + 1) * per_range - 1).alias("end_partition"), "replica",
+                    F.element_at(ids, (F.pmod(group + F.col("replica"), F.lit(n)) + 1).cast("int")).alias("server"))

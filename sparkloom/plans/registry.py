@@ -1,10 +1,10 @@
 """All registered queries with their SQL."""
-from . import corpus, shuffle
+from . import cluster, corpus, shuffle
 
 
 def queries():
-    return corpus.queries() | shuffle.queries()
+    return corpus.queries() | shuffle.queries() | cluster.queries()
 
 
 def oracle_sql():
-    return corpus.oracle_sql() | shuffle.oracle_sql()
+    return corpus.oracle_sql() | shuffle.oracle_sql() | cluster.oracle_sql()
