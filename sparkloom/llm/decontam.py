@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Document passages (WINDOW words, half overlapping) are TF-IDF rows over hashed terms; a distributed randomised SVD gives
-latent axes; passages near a benchmark passage in cosine are checked by longest common subsequence, with the item's last
-words as its answer. The benchmark is the stated query set and is taken in blocks of BLOCK items.
+latent axes, in which the cosine of each match is given. Passages are checked by longest common subsequence, with the
+item's last words as its answer, wherever word counts leave it possible; no cosine keeps a passage from that check. Benchmark
+passages of up to 24 words meet document windows of 24 words, longer ones meet windows of 48. The benchmark is the stated query set and is taken in blocks of BLOCK items.
 Null and empty texts match nothing; null item ids keep their matches under null; repeated rows match alike; empty tables
 give no matches; extra columns are ignored.
 """
@@ -18,7 +19,7 @@ STRIDE = 24
 ITEM_STRIDE = 8
 TERM_BITS = 15
 RANK = 48
-COSINE = 0.5
+SHORT = 24
 SHARE = 0.6
 SHARE_WITH_ANSWER = 0.45
 ANSWER_WORDS = 5
@@ -42,14 +43,14 @@ def _terms(ws, known):
     return np.array(out, np.int64)
 
 
-def _spans(n, stride):
+def _spans(n, stride, window=WINDOW):
     """Begin and end of each passage of n words; the last one ends with the text."""
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.arange(0, max(1, n - WINDOW + stride), stride)
-    begin = np.minimum(begin, max(0, n - WINDOW))
+    begin = np.arange(0, max(1, n - window + stride), stride)
+    begin = np.minimum(begin, max(0, n - window))
     begin = np.unique(begin)
-    return begin, np.minimum(begin + WINDOW, n)
+    return begin, np.minimum(begin + window, n)
 
 
 def _latent(terms, begin, end, axes):
@@ -180,63 +181,84 @@ def matches(docs, benchmark, axes=None):
                 rows += [(item, ws[b:e], ws[-ANSWER_WORDS:]) for b, e in zip(begin.tolist(), end.tolist())]
         if not rows:
             return None
-        voc = np.unique(np.concatenate([_terms(p, known) for _, p, _ in rows]))
-        held = np.zeros((len(voc), len(rows)), np.uint8)
-        for j, (_, p, _) in enumerate(rows):
-            np.add.at(held[:, j], np.searchsorted(voc, _terms(p, known)), 1)
-        shared = spark.sparkContext.broadcast((axes.astype(np.float32), rows, np.concatenate(vecs).astype(np.float32), voc, held))
+        vecs, kinds = np.concatenate(vecs).astype(np.float32), []
+        for short in (True, False):
+            use = [j for j, (_, p, _) in enumerate(rows) if (len(p) <= SHORT) == short]
+            if not use:
+                continue
+            mine = [rows[j] for j in use]
+            voc = np.unique(np.concatenate([_terms(p, known) for _, p, _ in mine]))
+            held = np.zeros((len(voc), len(mine)), np.uint8)
+            last = np.zeros((len(mine), ANSWER_WORDS), np.int64)
+            for j, (_, p, answer) in enumerate(mine):
+                np.add.at(held[:, j], np.searchsorted(voc, _terms(p, known)), 1)
+                t = _terms(answer, known)
+                at = np.minimum(np.searchsorted(voc, t), len(voc) - 1)
+                last[j] = np.resize(np.where(voc[at] == t, at, len(voc)), ANSWER_WORDS)
+            kinds.append((mine, vecs[use], voc, held, last, *((SHORT, SHORT // 2) if short else (WINDOW, STRIDE))))
+        shared = spark.sparkContext.broadcast((axes.astype(np.float32), kinds))
 
         def run(batches):
-            ax, rows, q, voc, held = shared.value
-            known, length = {}, np.array([len(p) for _, p, _ in rows])
-            answers = [b" ".join(a) for _, _, a in rows]
-            place = np.full(1 << TERM_BITS, -1, np.int64)
-            place[voc] = np.arange(len(voc))
-            step = max(64, (1 << 18) // len(rows))
-
-            def could(ids, lo, hi):
-                """Words of each part found in each window, an upper bound of their longest common subsequence."""
+            ax, kinds = shared.value
+            known, ready = {}, []
+            for mine, q, voc, held, last, window, stride in kinds:
+                place = np.full(1 << TERM_BITS, -1, np.int64)
+                place[voc] = np.arange(len(voc))
+                length = np.array([len(p) for _, p, _ in mine])
+                # the answer of a part that lacks some of its words cannot be ruled out by the part's vocabulary
+                ready.append((mine, q, voc, held, last, window, stride, place, length, [b" ".join(a) for _, _, a in mine]))
+
+            def could(ids, lo, hi, voc, held, place):
+                """Words of each part found in each window, an upper bound of their longest common subsequence, and the words held."""
                 n = hi - lo
                 win = np.repeat(np.arange(len(n)), n)
                 c = place[ids[np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]]
                 key = np.unique((win * len(voc) + c)[c >= 0])
-                out = np.zeros((len(n), len(rows)), np.uint8)
+                out = np.zeros((len(n), held.shape[1]), np.uint8)
+                have = np.zeros((len(n), len(voc) + 1), bool)
+                have[:, -1] = True
                 if len(key):
                     win = key // len(voc)
+                    have[win, key % len(voc)] = True
                     start = np.flatnonzero(np.diff(win, prepend=-1))
                     out[win[start]] = np.add.reduceat(held[key % len(voc)], start, axis=0, dtype=np.uint8)
-                return out
+                return out, have
 
             for pdf in batches:
                 out, doc_ids = [], pdf.doc_id.tolist()
                 for group in _groups(pdf.text, known):
-                    ids, off, span = np.concatenate([t for _, _, t in group]), 0, []
-                    for k, (_, ws, _) in enumerate(group):
-                        s, e = _spans(len(ws), STRIDE)
-                        span.append(np.stack([s + off, e + off, np.maximum(0, s - STRIDE) + off, np.minimum(len(ws), e + STRIDE) + off, np.full(len(s), k), np.full(len(s), off)]))
-                        off += len(ws)
-                    span, best = np.concatenate(span, 1), {}
-                    for at in range(0, span.shape[1], step):
-                        s, e, lo, hi, doc, base = span[:, at : at + step]
-                        cos = _latent(ids[s[0] : e[-1]], s - s[0], e - s[0], ax) @ q.T
-                        most = could(ids, lo, hi) / length
-                        near_to, text = None, b""
-                        for i, j in zip(*(x.tolist() for x in np.nonzero((cos >= COSINE) & (most >= SHARE_WITH_ANSWER)))):
-                            item, part, _ = rows[j]
-                            k = int(doc[i])
-                            if best.get((k, item), (0, 0))[1] >= SHARE:
-                                continue
-                            if near_to != i:
-                                near = group[k][1][int(lo[i] - base[i]) : int(hi[i] - base[i])]
-                                near_to, text = i, b" ".join(near)
-                            found = answers[j] in text
-                            if not found and most[i, j] < SHARE:
-                                continue
-                            share = lcs(part, near) / len(part)
-                            if share >= SHARE or (found and share >= SHARE_WITH_ANSWER):
-                                c = (float(cos[i, j]), share, found)
-                                if (k, item) not in best or c[1] > best[k, item][1]:
-                                    best[k, item] = c
+                    ids, best = np.concatenate([t for _, _, t in group]), {}
+                    for mine, q, voc, held, last, window, stride, place, length, answers in ready:
+                        off, span = 0, []
+                        for k, (_, ws, _) in enumerate(group):
+                            s, e = _spans(len(ws), stride, window)
+                            span.append(np.stack([s + off, e + off, np.maximum(0, s - stride) + off, np.minimum(len(ws), e + stride) + off, np.full(len(s), k), np.full(len(s), off)]))
+                            off += len(ws)
+                        span, step = np.concatenate(span, 1), max(64, (1 << 18) // len(mine))
+                        for at in range(0, span.shape[1], step):
+                            s, e, lo, hi, doc, base = span[:, at : at + step]
+                            most, have = could(ids, lo, hi, voc, held, place)
+                            most = most / length
+                            i, j = np.nonzero(most >= SHARE_WITH_ANSWER)
+                            open_ = (most[i, j] >= SHARE) | have[i[:, None], last[j]].all(1)
+                            near_to, text = None, b""
+                            for i, j in zip(i[open_].tolist(), j[open_].tolist()):
+                                item, part, _ = mine[j]
+                                k = int(doc[i])
+                                if best.get((k, item), (0, 0))[1] >= SHARE:
+                                    continue
+                                if near_to != i:
+                                    near = group[k][1][int(lo[i] - base[i]) : int(hi[i] - base[i])]
+                                    near_to, text = i, b" ".join(near)
+                                found = answers[j] in text
+                                if not found and most[i, j] < SHARE:
+                                    continue
+                                share = lcs(part, near) / len(part)
+                                if share >= SHARE or (found and share >= SHARE_WITH_ANSWER):
+                                    v = ax[ids[s[i] : e[i]]].sum(0, dtype=float)
+                                    c = (float(v @ q[j] / max(np.linalg.norm(v), 1e-12)), share, found)
+                                    if (k, item) not in best or c[1] > best[k, item][1]:
+                                        best[k, item] = c
                     out += [(doc_ids[group[k][0]], item, *c) for (k, item), c in best.items()]
                 got = pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "share", "answer"])
                 yield got.astype({"doc_id": "Int64", "item_id": "Int64"})
