@@ -4,7 +4,7 @@ The rows of a stage are told apart by doc_id; null ids stay through every filter
 """
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, langid, mixing, simhash, suffix
+from sparkloom.llm import decontam, jaccard, langid, mixing, suffix
 from sparkloom.llm.common import staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,9 +18,11 @@ def language(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The document with the smallest id of each group stays."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near copies (5-word Jaccard >= 0.8) stays: the smallest id, null ids last."""
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row")
+    kept = jaccard.near_groups(rows).join(rows.select("row", order.alias("o")), "row").groupBy("group").agg(F.min("o").alias("o"))
+    return rows.join(kept.select(F.col("o.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark, docs, sf_dir):
