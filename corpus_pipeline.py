@@ -13,8 +13,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark, docs, sf_dir):
     """Rejected documents (no letters, or unlike every language) go; lang becomes the prediction."""
     docs = docs.select(*COLUMNS)
-    p = langid.predict(docs, langid.fit(docs)).where("not rejected").select("doc_id", F.col("lang_pred").alias("lang")).dropDuplicates(["doc_id"])
-    return docs.drop("lang").join(p, "doc_id").select(*COLUMNS)
+    p = langid.predict(docs, langid.fit(docs), carry=("source", "n_chars")).where("not rejected")
+    return p.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -35,8 +35,9 @@ def suffix_dedup(spark, docs, sf_dir):
 
 def decontaminate(spark, docs, sf_dir):
     """Documents with a verified benchmark passage go."""
-    bad = decontam.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    # the verdict hangs on the text alone, so it is carried back by the text's hash; ids may be null or repeat
+    bad = decontam.matches(docs.select(F.xxhash64("text").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(bad.select(F.col("doc_id").alias("h")).distinct(), F.xxhash64("text") == F.col("h"), "left_anti").select(*COLUMNS)
 
 
 def mix(spark, docs, sf_dir):

@@ -112,8 +112,9 @@ def fit(docs, limit=TRAIN_ROWS):
     return train([(i.values.to_numpy(), p.values.to_numpy()) for i, p in zip(got["ids"], got["part"])], got["lang"].to_pylist())
 
 
-def predict(docs, model):
-    """Adds lang_pred, score and rejected to (doc_id, text)."""
+def predict(docs, model, carry=()):
+    """Adds lang_pred, score and rejected to (doc_id); with carry, also to text and the named columns of the row."""
+    names = ["doc_id", *(("text", *carry) if carry else ())]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS * DIM floats
 
     def run(batches):
@@ -131,9 +132,11 @@ def predict(docs, model):
                 p = np.exp(z - z.max())
                 p /= p.sum()
                 out.append((classes[int(p.argmax())], float(p.max()), bool(f[floor["seen"]].sum() < floor["share"] or p.max() < floor["score"])))
-            yield pdf[["doc_id"]].assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], rejected=[x[2] for x in out])
+            yield pdf[names].assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], rejected=[x[2] for x in out])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema if f.name != "doc_id")
+    kind = "doc_id long, " + (kind and kind + ", ") + "lang_pred string, score double, rejected boolean"
+    return docs.select("doc_id", "text", *carry).mapInPandas(run, kind)
 
 
 def _held(parts):

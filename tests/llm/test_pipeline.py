@@ -52,3 +52,19 @@ def test_near_dedup_stage(spark):
     rows = [(7, " ".join(base)), (9, " ".join(near)), (None, other), (None, other), (None, " ".join(base)), (3, lone), (3, lone), (4, one), (4, two)]
     got = corpus_pipeline.near_dedup(spark, frame(spark, rows), None).collect()
     assert sorted((x.doc_id or -1, x.text) for x in got) == sorted([(7, rows[0][1]), (-1, other), (3, lone), (4, one), (4, two)])
+
+
+def test_null_ids_through_run(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    text = docs.where("doc_id is not null and lang = 'en' and length(text) > 400").orderBy("doc_id").first().text
+    mine = " ".join(sorted(text.split(), key=lambda w: (len(w), w)))
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").first().text
+    more = spark.createDataFrame([(None, mine, "en", "web", len(mine)), (None, text + " " + item, "en", "web", 0)], docs.schema)
+    docs.unionByName(more).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.language(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), None)
+    assert got.where("doc_id is null").count() >= 2
+    rows = corpus_pipeline.run(spark, str(tmp_path)).where("doc_id is null").collect()
+    assert len(rows) >= 1
+    left = corpus_pipeline.decontaminate(spark, more, "/root/testdata/sf0.001").collect()
+    assert [x.text for x in left] == [mine]
