@@ -1,6 +1,6 @@
 """Documents to a training mix in five stages; each stage reads what its predecessor wrote.
 
-The rows of a stage are told apart by doc_id; null ids stay through every filter.
+Null ids stay through every filter; of the rows of one near-copy group one stays, also where they repeat a doc_id.
 """
 from pyspark.sql import functions as F
 
@@ -27,10 +27,9 @@ def near_dedup(spark, docs, sf_dir):
 
 def suffix_dedup(spark, docs, sf_dir):
     """Repeated 100-byte strings go from the texts; characters cut apart go with them."""
-    kept = suffix.dedup(docs).select("doc_id", F.col("kept").alias("__kept"), "n_removed")
-    j = docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left")
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.expr("make_valid_utf8(cast(__kept as string))"), "�", "")).otherwise(F.col("text"))
-    return j.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    d = suffix.dedup(docs, carry=("text is null as bare", "lang", "source", "n_chars")).select("*", "carried.*")
+    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "�", "")).when(~F.col("bare"), F.col("kept").cast("string"))
+    return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark, docs, sf_dir):

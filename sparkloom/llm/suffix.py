@@ -150,7 +150,7 @@ def _layout(lens):
     return starts, np.cumsum(d[:-1]) > 0
 
 
-SHARD = "shard long, ids array<long>, lens array<long>, blob binary, dup binary, anchors array<long>"
+SHARD = "shard long, ids array<long>, carried array<string>, lens array<long>, blob binary, dup binary, anchors array<long>"
 
 
 def _shards(batches):
@@ -158,7 +158,7 @@ def _shards(batches):
 
     part, n = TaskContext.get().partitionId(), 0
 
-    def make(ids, texts):
+    def make(ids, carried, texts):
         lens = np.array([len(t) for t in texts], np.int64)
         blob = b"".join(t + b"\xff" for t in texts)
         b = np.frombuffer(blob, np.uint8)
@@ -168,20 +168,21 @@ def _shards(batches):
         if valid.any():
             k = _anchors(b)
             anchors = np.unique(k[(valid & ~dup)[: len(k)]]).view(np.int64)
-        return pd.DataFrame([[(part << 32) + n, ids, lens, blob, np.packbits(dup).tobytes(), anchors]], columns=["shard", "ids", "lens", "blob", "dup", "anchors"])
+        return pd.DataFrame([[(part << 32) + n, ids, carried, lens, blob, np.packbits(dup).tobytes(), anchors]], columns=["shard", "ids", "carried", "lens", "blob", "dup", "anchors"])
 
-    ids, texts, size = [], [], 0
+    ids, carried, texts, size = [], [], [], 0
     for pdf in batches:
-        for i, t in zip(pdf.doc_id, pdf.text):
+        for i, c, t in zip(pdf.doc_id, pdf.carried, pdf.text):
             t = (t or "").encode()
             if texts and size + len(t) > SHARD_BYTES:
-                yield make(ids, texts)
-                n, ids, texts, size = n + 1, [], [], 0
+                yield make(ids, carried, texts)
+                n, ids, carried, texts, size = n + 1, [], [], [], 0
             ids.append(None if pd.isna(i) else int(i))
+            carried.append(c)
             texts.append(t)
             size += len(t) + 1
     if texts:
-        yield make(ids, texts)
+        yield make(ids, carried, texts)
 
 
 def _segments(batches):
@@ -241,7 +242,7 @@ def _merge(batches):
 
 def _cut(batches):
     for pdf in batches:
-        for ids, lens, blob, dup, runs in zip(pdf.ids, pdf.lens, pdf.blob, pdf.dup, pdf.runs):
+        for ids, carried, lens, blob, dup, runs in zip(pdf.ids, pdf.carried, pdf.lens, pdf.blob, pdf.dup, pdf.runs):
             lens = np.asarray(lens)
             starts, _ = _layout(lens)
             flag = np.unpackbits(np.frombuffer(dup, np.uint8))[: len(blob)].astype(np.int64)
@@ -256,17 +257,22 @@ def _cut(batches):
             gone = np.cumsum(d)[: len(blob)] > 0
             b = np.frombuffer(blob, np.uint8)
             rows = []
-            for i, s, n in zip(ids, starts.tolist(), lens.tolist()):
+            for i, c, s, n in zip(ids, carried, starts.tolist(), lens.tolist()):
                 g = gone[s : s + n]
                 edge = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8)))
                 kept = b[s : s + n][~g].tobytes()
-                rows.append((i, n, int(g.sum()), len(edge) // 2, kept, [{"begin": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"]).astype({"doc_id": "Int64"})
+                rows.append((i, n, int(g.sum()), len(edge) // 2, kept, [{"begin": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()], c))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "carried"]).astype({"doc_id": "Int64"})
 
 
-def dedup(docs):
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, spans) for every row of docs(doc_id, text)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def dedup(docs, carry=()):
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, spans) for every row of docs(doc_id, text).
+
+    With carry, each row also brings the struct of these expressions of its own row as carried.
+    """
+    more = F.struct(*map(F.expr, carry)) if carry else F.lit(None).cast("string")
+    kind = docs.select(more.alias("c")).schema[0].dataType
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.to_json(more) if carry else more).alias("carried"), "text")
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = d.repartitionByRange(max(1, -(-total // SHARD_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     shards = staged(ordered.mapInPandas(_shards, SHARD))
@@ -276,7 +282,8 @@ def dedup(docs):
     segments = shards.select("shard", "lens", "blob", "dup").join(mine, "shard").mapInPandas(_segments, "key long, shard long, at long, bytes binary")
     runs = segments.repartition("key").sortWithinPartitions("key", "shard").mapInPandas(_merge, "shard long, at long, n long")
     runs = runs.groupBy("shard").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    return shards.drop("anchors").join(runs, "shard", "left").mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>")
+    out = shards.drop("anchors").join(runs, "shard", "left").mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>, carried string")
+    return out.withColumn("carried", F.from_json("carried", kind)) if carry else out.drop("carried")
 
 
 def query(spark, sf_dir):

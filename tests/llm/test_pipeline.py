@@ -54,6 +54,17 @@ def test_near_dedup_stage(spark):
     assert sorted((x.doc_id or -1, x.text) for x in got) == sorted([(7, rows[0][1]), (-1, other), (3, lone), (4, one), (4, two)])
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    r = random.Random(10)
+    voc = vocabulary(r, 3000)
+    one, two, three = (" ".join(r.choice(voc) for _ in range(40)) for _ in range(3))
+    rows = [(1, one), (1, two), (1, one + " " + three), (None, two + " end"), (None, None)]
+    got = {x.source: x for x in corpus_pipeline.suffix_dedup(spark, frame(spark, rows), None).collect()}
+    assert len(got) == 5 and sum(x.text == one for x in got.values()) == 1
+    assert got["s1"].text in (two, "") and got["s4"].text is None
+    assert three in got["s2"].text and got["s2"].n_chars == len(got["s2"].text)
+
+
 def test_null_ids_through_run(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
     text = docs.where("doc_id is not null and lang = 'en' and length(text) > 400").orderBy("doc_id").first().text
