@@ -79,3 +79,16 @@ def test_null_ids_through_run(spark, tmp_path):
     assert len(rows) >= 1
     left = corpus_pipeline.decontaminate(spark, more, "/root/testdata/sf0.001").collect()
     assert [x.text for x in left] == [mine]
+
+
+def test_unlike_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null")
+    held = docs.where("pmod(hash(doc_id), 10) = 3")
+    model = langid.fit(docs.where("pmod(hash(doc_id), 10) <> 3"))
+    assert held.count() - langid.predict(held, model).where("not rejected").count() <= 0.02 * held.count()
+    r = random.Random(11)
+    odd = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(60)) for _ in range(100)]
+    odd += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+            "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."]
+    got = langid.predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()
+    assert all(x.rejected for x in got)
