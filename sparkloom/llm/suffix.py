@@ -1,22 +1,27 @@
 """Suffix-array dedup of 100-byte repeats over UTF-8 bytes.
 
-Each shard (documents in id order) is sorted by Larsson-Sadakane refinement; common prefixes follow Kasai's argument on
-text order; windows that repeat in a shard are found there. Across shards, the windows that are first in their shard and
-share an anchor (the least hash of a window's 50-byte substrings) meet sorted, and a binary search finds the earlier ones.
-Null and empty texts give zero rows of bytes; equal doc_ids are ordered by text; null ids come first; an empty table gives
-no rows; extra columns are ignored; texts of any length stay whole in one shard.
+Documents are packed in shards. Each shard is sorted by Larsson-Sadakane refinement; common prefixes follow Kasai's
+argument on text order; windows that repeat inside a shard are found there. Across shards, the sorted lists of the shards
+are merged and searched by halving, in three trips: anchors (the least hash of a window's 50-byte substrings) that more
+than one shard has; runs of first windows under such an anchor, told apart by 64 bits besides the anchor's 64; and single
+windows, by 128 bits, where the runs under an anchor differ. A shard sends each key once, so no key is hot.
+Null and empty texts give rows of zero bytes; null ids come first; rows that share a doc_id are ordered by text inside a
+shard and by shard across shards; equal rows are told apart by that place alone; an empty table gives no rows; extra
+columns are ignored; texts of any length stay whole in one shard.
 """
+import functools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import Rolling, Shards, mixed, plain_rows, runs_of, split_by, table
 
 LENGTH = 100
 GRAM = 50
 SHARD_BYTES = 4 << 20
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+BUCKET_BYTES = 16 << 20
+FIRST = np.iinfo(np.int64).min
 
 
 def suffix_array(b):
@@ -106,163 +111,165 @@ def repeated_in_shard(b, valid):
     return out
 
 
-def _rolling(b, size, base):
-    """A hash of every size-byte substring, by doubling."""
-    table_ = np.random.default_rng(base & 0xFFFF).integers(1, 2**63, 256, dtype=np.uint64)
-    power, h, n, out, done = np.uint64(base), table_[b], 1, None, 0
-    left = size
-    with np.errstate(over="ignore"):
-        while left:
-            if left & 1:
-                if out is None:
-                    out, done = h, n
-                else:
-                    k = len(b) - done - n + 1
-                    out = out[:k] * power + h[done : done + k]
-                    done += n
-            left >>= 1
-            if left:
-                k = len(b) - 2 * n + 1
-                h = h[:k] * power + h[n : n + k]
-                power = power * power
-                n *= 2
-        out = out ^ (out >> np.uint64(29))
-        out = out * np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
-
-
-def _anchors(b):
-    """The anchor of every window start, for starts up to len(b) - LENGTH."""
-    m, n, want = _rolling(b, GRAM, BASES[0]), 1, LENGTH - GRAM + 1
-    while 2 * n <= want:
-        m = np.minimum(m[:-n], m[n:])
-        n *= 2
-    return np.minimum(m[: len(m) - (want - n)], m[want - n :])
-
-
-def _layout(lens):
-    """Start of each document in a blob where one 0xFF follows each, and which places start a valid window."""
-    starts = np.r_[0, np.cumsum(lens + 1)[:-1]].astype(np.int64)
-    d = np.zeros(int((lens + 1).sum()) + 1, np.int64)
+def layout(lens):
+    """Start of each document in its shard, and which places start a window that stays inside its document."""
+    starts = np.cumsum(lens) - lens
+    d = np.zeros(int(lens.sum()) + 1, np.int64)
     long = lens >= LENGTH
     np.add.at(d, starts[long], 1)
     np.add.at(d, (starts + lens - LENGTH + 1)[long], -1)
     return starts, np.cumsum(d[:-1]) > 0
 
 
-SHARD = "shard long, ids array<long>, carried array<string>, lens array<long>, blob binary, dup binary, anchors array<long>"
-
-
-def _shards(batches):
-    from pyspark import TaskContext
-
-    part, n = TaskContext.get().partitionId(), 0
-
-    def make(ids, carried, texts):
-        lens = np.array([len(t) for t in texts], np.int64)
-        blob = b"".join(t + b"\xff" for t in texts)
-        b = np.frombuffer(blob, np.uint8)
-        _, valid = _layout(lens)
-        dup = repeated_in_shard(b, valid)
-        anchors = np.zeros(0, np.int64)
-        if valid.any():
-            k = _anchors(b)
-            anchors = np.unique(k[(valid & ~dup)[: len(k)]]).view(np.int64)
-        return pd.DataFrame([[(part << 32) + n, ids, carried, lens, blob, np.packbits(dup).tobytes(), anchors]], columns=["shard", "ids", "carried", "lens", "blob", "dup", "anchors"])
-
-    ids, carried, texts, size = [], [], [], 0
-    for pdf in batches:
-        for i, c, t in zip(pdf.doc_id, pdf.carried, pdf.text):
-            t = (t or "").encode()
-            if texts and size + len(t) > SHARD_BYTES:
-                yield make(ids, carried, texts)
-                n, ids, carried, texts, size = n + 1, [], [], [], 0
-            ids.append(None if pd.isna(i) else int(i))
-            carried.append(c)
-            texts.append(t)
-            size += len(t) + 1
-    if texts:
-        yield make(ids, carried, texts)
-
-
-def _segments(batches):
-    """Runs of first windows that have one shared anchor, with the bytes that they cover."""
-    for pdf in batches:
-        for shard, lens, blob, dup, shared in zip(pdf.shard, pdf.lens, pdf.blob, pdf.dup, pdf.shared):
-            b = np.frombuffer(blob, np.uint8)
-            _, valid = _layout(np.asarray(lens))
-            k = _anchors(b)
-            first = (valid & ~np.unpackbits(np.frombuffer(dup, np.uint8))[: len(b)].astype(bool))[: len(k)]
-            use = first & np.isin(k, np.sort(np.asarray(shared, np.int64)).view(np.uint64))
-            begin = np.flatnonzero(use & ~np.r_[False, use[:-1] & (k[1:] == k[:-1])])
-            end = np.flatnonzero(use & ~np.r_[use[1:] & (k[1:] == k[:-1]), False]) + 1
-            for lo in range(0, len(begin), 20000):
-                s, e = begin[lo : lo + 20000], end[lo : lo + 20000]
-                yield pd.DataFrame({"key": k[s].view(np.int64), "shard": shard, "at": s, "bytes": [blob[x : y + LENGTH - 1] for x, y in zip(s.tolist(), e.tolist())]})
-
-
-def _merge(batches):
-    """Of segments in order of (key, shard), the windows that an earlier shard has: (shard, at, n) runs."""
-    last, seen = None, np.zeros(0, "u8,u8")
-    for pdf in batches:
-        key, shard, at = pdf.key.to_numpy(), pdf.shard.to_numpy(), pdf["at"].to_numpy()
-        size = np.array([len(x) for x in pdf["bytes"]], np.int64)
-        b = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
-        starts = np.r_[0, np.cumsum(size)[:-1]]
-        count = size - LENGTH + 1
-        row = np.repeat(np.arange(len(size)), count)
-        off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        pos = starts[row] + off
-        w = np.empty(len(row), "u8,u8")
-        w["f0"], w["f1"] = _rolling(b, LENGTH, BASES[1])[pos], _rolling(b, LENGTH, BASES[2])[pos]
-        order = np.lexsort((row, w["f1"], w["f0"]))
-        s = w[order]
-        again = np.zeros(len(row), bool)
-        again[order[1:]] = s[1:] == s[:-1]
-        mine = key[row] == last if last is not None else np.zeros(len(row), bool)
-        if mine.any() and len(seen):
-            place = np.minimum(np.searchsorted(seen["f0"], w["f0"][mine]), len(seen) - 1)
-            hit = np.zeros(mine.sum(), bool)
-            todo = np.arange(len(hit))
-            while len(todo):  # equal first halves stand together
-                same = seen["f0"][place[todo]] == w["f0"][mine][todo]
-                hit[todo] |= same & (seen["f1"][place[todo]] == w["f1"][mine][todo])
-                todo = todo[same & ~hit[todo] & (place[todo] + 1 < len(seen))]
-                place[todo] += 1
-            again[np.flatnonzero(mine)[hit]] = True
-        tail = w[key[row] == key[-1]]
-        seen = np.unique(np.concatenate([seen, tail]) if last == key[-1] else tail)
-        last = key[-1]
-        g = np.flatnonzero(again)
-        if len(g):
-            new = np.r_[True, (np.diff(g) != 1) | (row[g][1:] != row[g][:-1])]
-            h = np.flatnonzero(new)
-            yield pd.DataFrame({"shard": shard[row[g[h]]], "at": at[row[g[h]]] + off[g[h]], "n": np.diff(np.r_[h, len(g)])})
-
-
-def _cut(batches):
-    for pdf in batches:
-        for ids, carried, lens, blob, dup, runs in zip(pdf.ids, pdf.carried, pdf.lens, pdf.blob, pdf.dup, pdf.runs):
-            lens = np.asarray(lens)
-            starts, _ = _layout(lens)
-            flag = np.unpackbits(np.frombuffer(dup, np.uint8))[: len(blob)].astype(np.int64)
-            d = np.zeros(len(blob) + LENGTH + 1, np.int64)
-            d[: len(blob)] += flag
-            d[LENGTH : len(blob) + LENGTH] -= flag
-            if runs is not None:
-                for r in runs:
-                    # windows at .. at + n - 1 cover up to at + n + LENGTH - 1
-                    d[r["at"]] += 1
-                    d[r["at"] + r["n"] + LENGTH - 1] -= 1
-            gone = np.cumsum(d)[: len(blob)] > 0
-            b = np.frombuffer(blob, np.uint8)
-            rows = []
-            for i, c, s, n in zip(ids, carried, starts.tolist(), lens.tolist()):
-                g = gone[s : s + n]
-                edge = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8)))
-                kept = b[s : s + n][~g].tobytes()
-                rows.append((i, n, int(g.sum()), len(edge) // 2, kept, [{"begin": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()], c))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", "carried"]).astype({"doc_id": "Int64"})
+def anchored_runs(b, first):
+    """Runs of first windows that have one anchor: begin, number of windows, place of the anchor."""
+    n = len(b) - LENGTH + 1
+    if n < 1 or not first.any():
+        return (np.zeros(0, np.int64),) * 3
+    g = Rolling(b).fixed(GRAM)
+    a, wide, want = g, 1, LENGTH - GRAM + 1
+    while 2 * wide <= want:
+        a = np.minimum(a[:-wide], a[wide:])
+        wide *= 2
+    a = np.minimum(a[: len(a) - (want - wide)], a[want - wide :])
+    use, turn = first[:n], np.r_[True, a[1:] != a[:-1]]
+    begin = np.flatnonzero(use & (turn | ~np.r_[False, use[:-1]]))
+    end = np.flatnonzero(use & np.r_[turn[1:] | ~use[1:], True]) + 1
+    place = np.empty(len(begin), np.int64)
+    for lo in range(0, len(begin), 1 << 16):
+        s = begin[lo : lo + (1 << 16)]
+        place[lo : lo + len(s)] = s + (g[s[:, None] + np.arange(want)] == a[s][:, None]).argmax(1)
+    return begin, end - begin, place
+
+
+def _make(blob, lens, ids, flags):
+    _, valid = layout(lens)
+    dup = repeated_in_shard(blob, valid)
+    begin, n, place = anchored_runs(blob, valid & ~dup)
+    words = lambda x: np.ascontiguousarray(x, np.uint32).tobytes()
+    return {"blob": blob.tobytes(), "dup": np.packbits(dup).tobytes(), "begin": words(np.diff(begin, prepend=0)), "many": words(n), "place": words(place - begin)}
+
+
+class Shard:
+    """A staged shard: its runs with their anchors, hashes and document orders."""
+
+    def __init__(self, row):
+        self.row, self.blob, self.shard = row, row["blob"], row["shard"]
+        self.begin = np.cumsum(row["begin"].view(np.uint32), dtype=np.int64)
+        self.many = row["many"].view(np.uint32).astype(np.int64)
+        place = self.begin + row["place"].view(np.uint32)
+        self.hash = Rolling(self.blob)
+        self.key = self.hash(place, place + GRAM)
+        self.run = mixed(self.hash(self.begin, self.begin + self.many + LENGTH - 1) + self.many.astype(np.uint64))
+        self.lens = row["lens"].to_numpy()
+
+    def order(self, at):
+        """The order key of the documents at these places."""
+        starts = np.cumsum(self.lens) - self.lens
+        return row_orders(self.row["ids"])[np.searchsorted(starts, at, "right") - 1]
+
+    def anchors(self, spread):
+        """Distinct anchors by bucket: (anchor, digest of its run or 0 if it has several), bounds of the buckets."""
+        o = np.lexsort((self.key, route(self.key, spread)))
+        k, r = self.key[o], (self.run[o] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        at = runs_of(k)
+        one = np.diff(np.r_[at, len(k)]) == 1
+        k = k[at]
+        return k, np.where(one, r[at], 0).astype(np.uint32), np.searchsorted(route(k, spread), np.arange(spread + 1))
+
+    def codes(self, spread):
+        """What the first trip says of the anchor of each run: 0 in this shard alone, 1 one run everywhere, 2 several runs."""
+        k, _, edge = self.anchors(spread)
+        code = np.zeros(len(k), np.uint8)
+        fill(code, edge, self.row["anchors"], lambda d: d)
+        o = np.argsort(k)
+        return code[o][np.searchsorted(k[o], self.key)] if len(k) else code
+
+    def repeats(self, spread):
+        """Index of the runs of shared anchors by bucket, their pair hashes, codes, and the bounds of the buckets."""
+        code = self.codes(spread)
+        at = np.flatnonzero(code)
+        pair = mixed(self.key[at] ^ mixed(self.run[at]))
+        order, edge = split_by(route(pair, spread), spread)
+        return at[order], pair[order], code[at[order]], edge
+
+    def open(self, spread):
+        """Runs that repeat as a whole; and places and fingerprints, by bucket, of the windows that are still open."""
+        at, _, code, edge = self.repeats(spread)
+        again = np.zeros(len(at), np.uint8)
+        fill(again, edge, self.row["runs"], np.unpackbits)
+        left = np.sort(at[(again == 0) & (code == 2)])
+        n = self.many[left]
+        place = np.repeat(self.begin[left], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        one = self.hash(place, place + LENGTH)
+        two = Rolling(self.blob, 1)(place, place + LENGTH) if len(place) else one
+        order, edge = split_by(route(one, spread), spread)
+        return at[again == 1], place[order], np.stack([one[order], two[order]], 1).astype(">u8"), edge
+
+
+def row_orders(ids):
+    return ids.fill_null(int(FIRST)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def route(hashes, spread):
+    return (mixed(hashes) >> np.uint64(33)).astype(np.int64) % spread
+
+
+def fill(out, edge, answers, read):
+    """Put the answers of all buckets, in their order, into out."""
+    for a in answers if answers is not None else []:
+        lo, hi = edge[a["bucket"]], edge[a["bucket"] + 1]
+        out[lo:hi] = read(np.frombuffer(a["data"], np.uint8))[: hi - lo]
+
+
+def pieces(edge, *columns):
+    """(bucket, bytes) of every bucket that has items; the columns stand one after another."""
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        yield b, b"".join(np.ascontiguousarray(c[edge[b] : edge[b + 1]]).tobytes() for c in columns)
+
+
+def unpack(asked, *kinds):
+    """Columns of the items of a bucket, the number of items of each shard, and the shards."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    size = [len(d) // width for _, d in asked]
+    out = []
+    at = [0] * len(asked)
+    for k in kinds:
+        item = np.dtype(k).itemsize
+        out.append(np.concatenate([np.frombuffer(d, k, n, a) for (_, d), n, a in zip(asked, size, at)]))
+        at = [a + n * item for a, n in zip(at, size)]
+    return out, np.array(size), [s for s, _ in asked]
+
+
+def settle_anchors(asked):
+    """Merge the shards' sorted anchors and search each in the merged list: how many shards, and how many runs."""
+    (key, digest), size, shards = unpack(asked, "u8", "u4")
+    order = np.argsort(key)
+    begin = runs_of(key[order])
+    digest = digest[order]
+    low, high = np.minimum.reduceat(digest, begin), np.maximum.reduceat(digest, begin)
+    code = np.where(np.diff(np.r_[begin, len(key)]) == 1, 0, np.where((low == high) & (low > 0), 1, 2)).astype(np.uint8)
+    found = code[np.searchsorted(key[order][begin], key)]
+    for s, part in zip(shards, np.split(found, np.cumsum(size)[:-1])):
+        if part.any():
+            yield s, part.tobytes()
+
+
+def settle_first(asked, kind):
+    """One bit for each (key, document order): whether an earlier document, or shard, has the key."""
+    (key, order), size, shards = unpack(asked, kind, "i8")
+    place = np.repeat(np.arange(len(size)), size)
+    by = np.lexsort((place, order))
+    by = by[np.argsort(key[by], kind="stable")]
+    begin = runs_of(key[by])
+    merged, least = key[by][begin], by[begin]
+    found = least[np.searchsorted(merged, key)] != np.arange(len(key))
+    for s, part in zip(shards, np.split(found, np.cumsum(size)[:-1])):
+        if part.any():
+            yield s, np.packbits(part).tobytes()
+
+
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>, carried string"
 
 
 def dedup(docs, carry=()):
@@ -270,20 +277,64 @@ def dedup(docs, carry=()):
 
     With carry, each row also brings the struct of these expressions of its own row as carried.
     """
-    more = F.struct(*map(F.expr, carry)) if carry else F.lit(None).cast("string")
-    kind = docs.select(more.alias("c")).schema[0].dataType
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.to_json(more) if carry else more).alias("carried"), "text")
-    total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = d.repartitionByRange(max(1, -(-total // SHARD_BYTES)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = staged(ordered.mapInPandas(_shards, SHARD))
-    anchors = shards.select("shard", F.explode("anchors").alias("key"))
-    common = anchors.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    mine = anchors.join(common, "key").groupBy("shard").agg(F.collect_list("key").alias("shared"))
-    segments = shards.select("shard", "lens", "blob", "dup").join(mine, "shard").mapInPandas(_segments, "key long, shard long, at long, bytes binary")
-    runs = segments.repartition("key").sortWithinPartitions("key", "shard").mapInPandas(_merge, "shard long, at long, n long")
-    runs = runs.groupBy("shard").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    out = shards.drop("anchors").join(runs, "shard", "left").mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>, carried string")
-    return out.withColumn("carried", F.from_json("carried", kind)) if carry else out.drop("carried")
+    more = F.struct(*map(F.expr, carry)) if carry else None
+    shards = Shards(docs, _make, "blob binary, dup binary, begin binary, many binary, place binary", SHARD_BYTES, None if more is None else F.to_json(more))
+    spread = max(1, -(-shards.bytes // BUCKET_BYTES))
+
+    def ask_anchors(row):
+        k, r, edge = Shard(row).anchors(spread)
+        return pieces(edge, k, r)
+
+    def ask_runs(row):
+        s = Shard(row)
+        at, pair, _, edge = s.repeats(spread)
+        return pieces(edge, pair, s.order(s.begin[at]))
+
+    def ask_windows(row):
+        s = Shard(row)
+        _, place, prints, edge = s.open(spread)
+        return pieces(edge, prints, s.order(place))
+
+    plain = shards.rows.select("shard", "ids", "lens", "blob", "begin", "many", "place")
+    anchors = shards.trip(plain, ask_anchors, settle_anchors, spread)
+    plain = shards.with_answers(plain, anchors, "anchors")
+    runs = shards.trip(plain, ask_runs, functools.partial(settle_first, kind="u8"), spread)
+    plain = shards.with_answers(plain, runs, "runs")
+    windows = shards.trip(plain, ask_windows, functools.partial(settle_first, kind="S16"), spread)
+
+    def cut(batches):
+        for batch in batches:
+            for row in plain_rows(batch):
+                s = Shard(row)
+                whole, place, _, edge = s.open(spread)
+                again = np.zeros(len(place), np.uint8)
+                fill(again, edge, row["windows"], np.unpackbits)
+                size = len(s.blob)
+                flag = np.unpackbits(row["dup"])[:size].astype(np.int64)
+                flag[place[again == 1]] = 1
+                d = np.zeros(size + LENGTH + 1, np.int64)
+                np.add.at(d, s.begin[whole], 1)
+                np.add.at(d, s.begin[whole] + s.many[whole] + LENGTH - 1, -1)
+                d[:size] += flag
+                d[LENGTH : size + LENGTH] -= flag
+                gone = np.cumsum(d)[:size] > 0
+                out, at = [], 0
+                for i, c, n in zip(row["ids"].to_pylist(), row["carried"].to_pylist(), s.lens.tolist()):
+                    g = gone[at : at + n]
+                    edges = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8))).reshape(-1, 2).tolist()
+                    kept = s.blob[at : at + n][~g].tobytes() if edges else s.blob[at : at + n].tobytes()
+                    out.append({"doc_id": i, "n_bytes": n, "n_removed": int(g.sum()), "n_spans": len(edges), "kept": kept, "spans": [{"begin": x, "end": y} for x, y in edges], "carried": c})
+                    at += n
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("carried", pa.string())])
+    rows = shards.rows
+    for name, answers in (("anchors", anchors), ("runs", runs), ("windows", windows)):
+        rows = shards.with_answers(rows, answers, name)
+    out = rows.mapInArrow(cut, KEPT)
+    if more is None:
+        return out.drop("carried")
+    return out.withColumn("carried", F.from_json("carried", docs.select(more.alias("c")).schema[0].dataType))
 
 
 def query(spark, sf_dir):
