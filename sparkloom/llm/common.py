@@ -269,6 +269,57 @@ def split_by(bucket, buckets):
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
+def row_orders(ids):
+    """Document order keys; nulls come first."""
+    return ids.fill_null(int(np.iinfo(np.int64).min)).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def route(hashes, spread):
+    """The bucket of each hash."""
+    return (mixed(hashes) >> np.uint64(33)).astype(np.int64) % spread
+
+
+def fill(out, edge, answers, read):
+    """Put the answers of all buckets, in their order, into out."""
+    for a in answers if answers is not None else []:
+        lo, hi = edge[a["bucket"]], edge[a["bucket"] + 1]
+        out[lo:hi] = read(np.frombuffer(a["data"], np.uint8))[: hi - lo]
+
+
+def pieces(edge, *columns):
+    """(bucket, bytes) of every bucket that has items; the columns stand one after another."""
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        yield b, b"".join(np.ascontiguousarray(c[edge[b] : edge[b + 1]]).tobytes() for c in columns)
+
+
+def unpack(asked, *kinds):
+    """Columns of the items of a bucket, the number of items of each shard, and the shards."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    size = [len(d) // width for _, d in asked]
+    out = []
+    at = [0] * len(asked)
+    for k in kinds:
+        item = np.dtype(k).itemsize
+        out.append(np.concatenate([np.frombuffer(d, k, n, a) for (_, d), n, a in zip(asked, size, at)]))
+        at = [a + n * item for a, n in zip(at, size)]
+    return out, np.array(size), [s for s, _ in asked]
+
+
+def settle_first(asked, kind, ties=True):
+    """One bit for each (key, document order): whether an earlier document has the key; with ties, an earlier shard counts."""
+    (key, order), size, shards = unpack(asked, kind, "i8")
+    place = np.repeat(np.arange(len(size)), size)
+    by = np.lexsort((place, order))
+    by = by[np.argsort(key[by], kind="stable")]
+    begin = runs_of(key[by])
+    merged, least = key[by][begin], by[begin]
+    least = least[np.searchsorted(merged, key)]
+    found = least != np.arange(len(key)) if ties else order[least] < order
+    for s, part in zip(shards, np.split(found, np.cumsum(size)[:-1])):
+        if part.any():
+            yield s, np.packbits(part).tobytes()
+
+
 def components(edges):
     """Smallest id reachable for every id of edges(a, b); alternating large and small stars.
 

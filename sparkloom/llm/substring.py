@@ -1,185 +1,173 @@
 """Substring dedup over word windows: count-min prefilter, then exact grouping of windows estimated repeated.
 
+Documents are packed in shards. First, every shard sends its windows' 32-bit sketch values to the slice of the sketch that
+they hash to; a slice holds two rows of counters for some BUCKET_BYTES of text, so the sketch grows with the input and is
+never sent whole. Merged counts never fall short, so no repeat is lost. Then the windows estimated repeated are grouped
+exactly, each distinct window once for a shard, by two 64-bit hashes made from two independent word hashes.
 Null texts have no words; texts shorter than a window keep all words; equal doc_ids count as one document for what is
 earlier; null doc_ids are never earlier and keep all words; an empty table gives no rows; extra columns are ignored.
-A window is identified by two independent 64-bit hashes of its whole word sequence.
 """
-import zlib
+import functools
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SPACE, Rolling, Shards, fill, mixed, pieces, plain_rows, route, row_orders, runs_of, settle_first, split_by, table, word_spans
 
 WINDOW = 50
-WIDTH_BITS = 28  # counters per sketch row, saturating at two; a fixed bound on what is broadcast (2 rows of 32 MB)
-SLICE_BITS = 22
+SHARD_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+ROW_BITS = 24  # counters of a sketch row in a slice: some six for each window
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _roll(h, base, window):
+def roll(h, base, window):
     """A hash of every run of window values, by doubling."""
     power, n, out, done, left = np.uint64(base), 1, None, 0, window
-    while left:
-        if left & 1:
-            if out is None:
-                out, done = h, n
-            else:
-                k = len(h) - done
-                out, done = out[:k] * power + h[done:], done + n
-        left >>= 1
-        if left:
-            h = h[:-n] * power + h[n:]
-            power, n = power * power, 2 * n
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
-
-
-def window_hashes(texts, window=WINDOW):
-    """(text index, two uint64 hashes) of every window of every text, in order."""
-    words, sizes = [], []
-    for t in texts:
-        w = t.encode().split() if isinstance(t, str) else []
-        words += w
-        sizes.append(len(w))
-    if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    g = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    g ^= g >> np.uint64(29)
-    sizes = np.array(sizes)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    ok = np.flatnonzero(text[: len(words) - window + 1] == text[window - 1 :])
-    return text[ok], _roll(h, BASES[0], window)[ok], _roll(g, BASES[1], window)[ok]
-
-
-def _pieces(batches, rows=128):
-    for pdf in batches:
-        for at in range(0, len(pdf), rows):
-            yield pdf.iloc[at : at + rows]
-
-
-def _sketch(batches):
-    """Slots of each sketch row, packed by slice; a slot is sent once, or twice where this part alone repeats it."""
-    held, size = [], 0
-
-    def flush():
-        for row in (0, 1):
-            slots, times = np.unique(np.concatenate([x[row] for x in held]) >> np.uint64(64 - WIDTH_BITS), return_counts=True)
-            cut = np.searchsorted(slots >> np.uint64(SLICE_BITS), np.arange((1 << (WIDTH_BITS - SLICE_BITS)) + 1).astype(np.uint64))
-            for s in range(len(cut) - 1):
-                if cut[s] < cut[s + 1]:
-                    part, n = slots[cut[s] : cut[s + 1]] & np.uint64((1 << SLICE_BITS) - 1), times[cut[s] : cut[s + 1]]
-                    gaps = np.diff(part, prepend=np.uint64(0)).astype(np.uint32)
-                    gaps = gaps.astype(np.uint16) if gaps.max() < 65536 else gaps
-                    yield row, s, gaps.itemsize, zlib.compress(gaps.tobytes(), 1), zlib.compress(np.packbits(n > 1).tobytes(), 1)
-
-    for pdf in _pieces(batches):
-        _, a, b = window_hashes(pdf.text)
-        held.append((a, b))
-        size += len(a)
-        if size > 4_000_000:
-            yield pd.DataFrame(flush(), columns=["r", "s", "w", "gaps", "twice"])
-            held, size = [], 0
-    if size:
-        yield pd.DataFrame(flush(), columns=["r", "s", "w", "gaps", "twice"])
-
-
-def _merge(batches):
-    """Bitmap of a slice's slots that were counted twice or more; parts stream through one pair of bitmaps."""
-    key = once = twice = None
-    for pdf in batches:
-        for r, s, w, gaps, two in pdf.itertuples(index=False):
-            if key != (r, s):
-                if key is not None:
-                    yield pd.DataFrame([(*key, zlib.compress(np.packbits(twice).tobytes(), 1))], columns=["r", "s", "bits"])
-                key, once, twice = (r, s), np.zeros(1 << SLICE_BITS, bool), np.zeros(1 << SLICE_BITS, bool)
-            slots = np.cumsum(np.frombuffer(zlib.decompress(gaps), f"<u{w}"), dtype=np.int64)
-            twice[slots] |= once[slots] | np.unpackbits(np.frombuffer(zlib.decompress(two), np.uint8))[: len(slots)].astype(bool)
-            once[slots] = True
-    if key is not None:
-        yield pd.DataFrame([(*key, zlib.compress(np.packbits(twice).tobytes(), 1))], columns=["r", "s", "bits"])
-
-
-def _prefilter(docs):
-    """Broadcast bitmaps of the slots counted twice or more; their size is fixed by WIDTH_BITS."""
-    parts = docs.select("text").mapInPandas(_sketch, "r int, s int, w int, gaps binary, twice binary")
-    merged = parts.repartition("r", "s").sortWithinPartitions("r", "s").mapInPandas(_merge, "r int, s int, bits binary").collect()
-    return docs.sparkSession.sparkContext.broadcast({(x.r, x.s): bytes(x.bits) for x in merged})
-
-
-def _bitmaps(packed):
-    maps, n = [np.zeros(1 << (WIDTH_BITS - 3), np.uint8) for _ in (0, 1)], 1 << (SLICE_BITS - 3)
-    for (row, s), z in packed.items():
-        maps[row][s * n : (s + 1) * n] = np.frombuffer(zlib.decompress(z), np.uint8)
-    return maps
-
-
-def _maybe(maps, hashes):
-    """Windows that the sketch estimates repeated."""
-    at = np.arange(len(hashes[0]))
-    for m, v in zip(maps, hashes):
-        slot = (v[at] >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
-        at = at[(m[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
-    return at
+    with np.errstate(over="ignore"):
+        while left:
+            if left & 1:
+                if out is None:
+                    out, done = h, n
+                else:
+                    k = len(h) - done
+                    out, done = out[:k] * power + h[done:], done + n
+            left >>= 1
+            if left:
+                h = h[:-n] * power + h[n:]
+                power, n = power * power, 2 * n
+    return mixed(out)
+
+
+class Shard:
+    """The words and windows of a staged shard; windows of documents without an id are left out."""
+
+    def __init__(self, row, window):
+        self.blob, self.lens, self.answers = row["blob"], row["lens"].to_numpy(), row
+        self.begin, self.end, self.doc = word_spans(self.blob, self.lens)
+        self.order = row_orders(row["ids"])
+        has = row["ids"].is_valid().to_numpy(zero_copy_only=False)
+        n = max(0, len(self.doc) - window + 1)
+        self.at = np.flatnonzero((self.doc[:n] == self.doc[len(self.doc) - n :]) & has[self.doc[:n]]) if n else np.zeros(0, np.int64)
+        self.window = window
+        self.one = self.hashes(0, self.at)
+
+    def hashes(self, which, at):
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        return roll(Rolling(self.blob, which)(self.begin, self.end), BASES[which], self.window)[at]
+
+    def sketch(self, spread):
+        """Order of the windows by bucket and sketch value, begin of each distinct value, the values, bounds of the buckets."""
+        key = (route(self.one, spread).astype(np.uint64) << np.uint64(32)) | (self.one & np.uint64(0xFFFFFFFF))
+        by = np.argsort(key)
+        key = key[by]
+        begin = runs_of(key)
+        edge = np.searchsorted(key[begin], np.arange(spread + 1).astype(np.uint64) << np.uint64(32))
+        return by, begin, key[begin].astype(np.uint32), edge
+
+    def candidates(self, spread):
+        """Windows estimated repeated: their index in at, group, and of each group the first window, fingerprint and bucket bounds."""
+        by, begin, _, edge = self.sketch(spread)
+        maybe = np.zeros(len(begin), np.uint8)
+        fill(maybe, edge, self.answers["estimates"], np.unpackbits)
+        hit = np.zeros(len(self.at), bool)
+        hit[by] = np.repeat(maybe, np.diff(np.r_[begin, len(by)])) == 1
+        hit = np.flatnonzero(hit)
+        one, two = self.one[hit], self.hashes(1, self.at[hit])
+        by = np.lexsort((two, one))  # stable: the first of a group is in the least document
+        new = np.ones(len(by), bool)
+        new[1:] = (one[by[1:]] != one[by[:-1]]) | (two[by[1:]] != two[by[:-1]])
+        group = np.empty(len(by), np.int64)
+        group[by] = np.cumsum(new) - 1
+        first = by[new]
+        order, edge = split_by(route(one[first], spread), spread)
+        place = np.empty(len(first), np.int64)
+        place[order] = np.arange(len(first))
+        first = first[order]
+        return hit, place[group], first, np.stack([one[first], two[first]], 1).astype(">u8"), edge
+
+
+def _ask_estimates(row, spread, window):
+    by, begin, value, edge = Shard(row, window).sketch(spread)
+    twice = np.diff(np.r_[begin, len(by)]) > 1
+    for b in np.flatnonzero(np.diff(edge)).tolist():
+        v = value[edge[b] : edge[b + 1]]
+        gaps = np.diff(v, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T  # planes: the upper ones are nearly all zero
+        yield b, np.uint32(len(v)).tobytes() + np.ascontiguousarray(gaps).tobytes() + np.packbits(twice[edge[b] : edge[b + 1]]).tobytes()
+
+
+def _settle_estimates(asked):
+    """Merge the shards' parts of a slice of the sketch; one bit for each value: the least of its counters is two or more."""
+    values, more = [], []
+    for _, d in asked:
+        n = int(np.frombuffer(d, np.uint32, 1)[0])
+        gaps = np.ascontiguousarray(np.frombuffer(d, np.uint8, 4 * n, 4).reshape(4, n).T).view(np.uint32).ravel()
+        values.append(np.cumsum(gaps, dtype=np.uint32))
+        more.append(values[-1][np.unpackbits(np.frombuffer(d, np.uint8, offset=4 + 4 * n))[:n] == 1])
+    every = np.concatenate(values + more)
+    high = np.uint32(32 - ROW_BITS)
+    low = np.uint32((1 << ROW_BITS) - 1)
+    rows = [np.bincount(x, minlength=1 << ROW_BITS) > 1 for x in (every & low, every >> high)]
+    for (s, _), v in zip(asked, values):
+        found = rows[0][v & low] & rows[1][v >> high]
+        if found.any():
+            yield s, np.packbits(found).tobytes()
+
+
+def _texts(pieces_, keep, size):
+    """Arrow strings of each document's kept bytes."""
+    ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(size)])]
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(pieces_[keep].tobytes()))
 
 
 def dedup(docs, window=WINDOW):
-    """(doc_id, n_words, n_removed, kept): kept is the text left, words joined by one space.
-
-    The exact pass groups each estimated window to its smallest document. That document gets the hashes it is first for;
-    in every document the other estimated windows are repeats, so no occurrence list is joined or gathered.
-    """
-    packed = _prefilter(docs)
-
-    def candidates(batches):
-        maps = _bitmaps(packed.value)
-        for pdf in _pieces(batches):
-            pdf = pdf[pdf.doc_id.notna()]
-            text, a, b = window_hashes(pdf.text)
-            at = _maybe(maps, (a, b))
-            # a window counts once in a document
-            key = np.unique(np.rec.fromarrays([text[at], a[at], b[at]], names="t,a,b"))
-            yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy()[key.t], "a": key.a.view(np.int64), "b": key.b.view(np.int64)})
-
-    c = docs.select("doc_id", "text").mapInPandas(candidates, "doc_id long, a long, b long")
-    first = c.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("a").alias("first"))
+    """(doc_id, n_words, n_removed, kept): kept is the text left, words joined by one space."""
+    shards = Shards(docs, lambda blob, lens, ids, flags: {"blob": blob.tobytes()}, "blob binary", SHARD_BYTES)
+    spread = max(1, -(-shards.bytes // BUCKET_BYTES))
 
-    def cut(batches):
-        maps = _bitmaps(packed.value)
-        for pdf in _pieces(batches):
-            text, a, b = window_hashes(pdf.text)
-            near = _maybe(maps, (a, b))
-            edge = np.searchsorted(text, np.arange(len(pdf) + 1))
-            cand = np.searchsorted(near, edge)
-            out = []
-            for k, (doc_id, t, first) in enumerate(zip(pdf.doc_id, pdf.text, pdf["first"])):
-                words = t.encode().split() if isinstance(t, str) else []
-                at = near[cand[k] : cand[k + 1]]
-                if len(at) and not pd.isna(doc_id):
-                    if first is not None and len(first):
-                        at = at[~np.isin(a[at], np.asarray(first, np.int64).view(np.uint64))]
-                    at = at - edge[k]
-                else:
-                    at = at[:0]
-                if not len(at):
-                    out.append((len(words), 0, b" ".join(words).decode()))
-                    continue
-                d = np.zeros(len(words) + 1, np.int64)
-                d[at] += 1
-                d[at + window] -= 1
-                gone = np.cumsum(d[:-1]) > 0
-                out.append((len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode()))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
+    def ask_first(row):
+        s = Shard(row, window)
+        hit, _, first, prints, edge = s.candidates(spread)
+        return pieces(edge, prints, s.order[s.doc[s.at[hit[first]]]])
 
-    return docs.select("doc_id", "text").join(first, "doc_id", "left").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept string")
+    plain = shards.rows.select("shard", "ids", "lens", "blob")
+    estimates = shards.trip(plain, functools.partial(_ask_estimates, spread=spread, window=window), _settle_estimates, spread)
+    plain = shards.with_answers(plain, estimates, "estimates")
+    earlier = shards.trip(plain, ask_first, functools.partial(settle_first, kind="S16", ties=False), spread)
+    plain = shards.with_answers(plain, earlier, "earlier")
+
+    def cut(batches):
+        for batch in batches:
+            for row in plain_rows(batch):
+                s = Shard(row, window)
+                hit, group, first, _, edge = s.candidates(spread)
+                again = np.zeros(len(first), np.uint8)
+                fill(again, edge, row["earlier"], np.unpackbits)
+                order = s.order[s.doc[s.at[hit]]]
+                gone = s.at[hit[(order > order[first][group]) | (again[group] == 1)]] if len(hit) else hit
+                d = np.zeros(len(s.doc) + 1, np.int64)
+                d[gone] += 1
+                d[gone + window] -= 1
+                left = np.cumsum(d[:-1]) == 0
+                keep = np.zeros(len(s.blob) + 1, np.int8)
+                keep[s.begin[left]] += 1
+                keep[s.end[left]] -= 1
+                keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
+                kept_doc = s.doc[left]
+                gap = s.end[left][:-1][kept_doc[1:] == kept_doc[:-1]]  # the byte after a word that another kept word follows
+                keep[gap] = True
+                text = np.where(SPACE[s.blob], np.uint8(32), s.blob)
+                n = len(s.lens)
+                yield pa.RecordBatch.from_arrays(
+                    [row["ids"], pa.array(np.bincount(s.doc, minlength=n)), pa.array(np.bincount(s.doc[~left], minlength=n)), _texts(text, keep, s.lens).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return plain.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = None

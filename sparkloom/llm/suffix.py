@@ -15,13 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import Rolling, Shards, mixed, plain_rows, runs_of, split_by, table
+from .common import Rolling, Shards, fill, mixed, pieces, plain_rows, route, row_orders, runs_of, settle_first, split_by, table, unpack
 
 LENGTH = 100
 GRAM = 50
 SHARD_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
-FIRST = np.iinfo(np.int64).min
 
 
 def suffix_array(b):
@@ -207,40 +206,6 @@ class Shard:
         return at[again == 1], place[order], np.stack([one[order], two[order]], 1).astype(">u8"), edge
 
 
-def row_orders(ids):
-    return ids.fill_null(int(FIRST)).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def route(hashes, spread):
-    return (mixed(hashes) >> np.uint64(33)).astype(np.int64) % spread
-
-
-def fill(out, edge, answers, read):
-    """Put the answers of all buckets, in their order, into out."""
-    for a in answers if answers is not None else []:
-        lo, hi = edge[a["bucket"]], edge[a["bucket"] + 1]
-        out[lo:hi] = read(np.frombuffer(a["data"], np.uint8))[: hi - lo]
-
-
-def pieces(edge, *columns):
-    """(bucket, bytes) of every bucket that has items; the columns stand one after another."""
-    for b in np.flatnonzero(np.diff(edge)).tolist():
-        yield b, b"".join(np.ascontiguousarray(c[edge[b] : edge[b + 1]]).tobytes() for c in columns)
-
-
-def unpack(asked, *kinds):
-    """Columns of the items of a bucket, the number of items of each shard, and the shards."""
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    size = [len(d) // width for _, d in asked]
-    out = []
-    at = [0] * len(asked)
-    for k in kinds:
-        item = np.dtype(k).itemsize
-        out.append(np.concatenate([np.frombuffer(d, k, n, a) for (_, d), n, a in zip(asked, size, at)]))
-        at = [a + n * item for a, n in zip(at, size)]
-    return out, np.array(size), [s for s, _ in asked]
-
-
 def settle_anchors(asked):
     """Merge the shards' sorted anchors and search each in the merged list: how many shards, and how many runs."""
     (key, digest), size, shards = unpack(asked, "u8", "u4")
@@ -255,20 +220,6 @@ def settle_anchors(asked):
             yield s, part.tobytes()
 
 
-def settle_first(asked, kind):
-    """One bit for each (key, document order): whether an earlier document, or shard, has the key."""
-    (key, order), size, shards = unpack(asked, kind, "i8")
-    place = np.repeat(np.arange(len(size)), size)
-    by = np.lexsort((place, order))
-    by = by[np.argsort(key[by], kind="stable")]
-    begin = runs_of(key[by])
-    merged, least = key[by][begin], by[begin]
-    found = least[np.searchsorted(merged, key)] != np.arange(len(key))
-    for s, part in zip(shards, np.split(found, np.cumsum(size)[:-1])):
-        if part.any():
-            yield s, np.packbits(part).tobytes()
-
-
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>, carried string"
 
 
