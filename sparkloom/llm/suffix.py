@@ -19,38 +19,51 @@ from .common import Rolling, Shards, fill, mixed, pieces, plain_rows, route, row
 
 LENGTH = 100
 GRAM = 50
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20
 
 
 def suffix_array(b):
-    """Suffix order of bytes to a depth of 128: groups double their depth, and only groups still tied are sorted again."""
-    n, depth = len(b), 8
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = b
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wide[j : j + n]
+    """Suffix order of bytes to a depth past LENGTH: groups double their depth, and only groups still tied are sorted again.
+
+    The first sort takes as many places in one key as the alphabet of the shard lets into 64 bits.
+    """
+    n = len(b)
+    code = np.zeros(256, np.uint64)
+    code[b] = 1
+    bits = np.uint64(int(code.sum()).bit_length())
+    code = np.cumsum(code, dtype=np.uint64) * code
+    wide = np.zeros(n + 64, np.uint64)
+    wide[:n] = code[b]
+    key, depth = wide.copy(), 1
+    while 2 * depth * int(bits) <= 64:
+        key[:-depth] = (key[:-depth] << (bits * np.uint64(depth))) | key[depth:]
+        depth *= 2
+    while (depth + 1) * int(bits) <= 64:
+        key[:-depth] = (key[:-depth] << bits) | wide[depth:]
+        depth += 1
+    key = key[:n]
     sa = np.argsort(key)
     key = key[sa]
-    rank = np.full(n + 256, -1, np.int64)
+    sa = sa.astype(np.int32)
+    rank = np.full(n + 256, -1, np.int32)
     rank[sa] = _heads(np.r_[True, key[1:] != key[:-1]])
-    while depth < 128:
-        r = rank[sa]
-        tied = np.zeros(n, bool)
+    at = np.arange(n, dtype=np.int32)
+    while depth < LENGTH and len(at):
+        r = rank[sa[at]]
         same = r[1:] == r[:-1]
+        tied = np.zeros(len(at), bool)
         tied[1:] |= same
         tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
+        at = at[tied]
         s = sa[at]
-        one, two = rank[s], rank[s + depth]
-        order = np.argsort(one * (n + 2) + two + 1)  # both ranks in one key: a shard is far below 2^31 bytes
-        s, one, two = s[order], one[order], two[order]
+        two = rank[s + depth]
+        pair = r[tied].astype(np.int64) * (n + 2) + two + 1  # both ranks in one key: a shard is far below 2^31 bytes
+        order = np.argsort(pair)
+        s, pair = s[order], pair[order]
         sa[at] = s
-        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
-        rank[s] = at[_heads(new)]
+        if len(at):
+            rank[s] = at[_heads(np.r_[True, pair[1:] != pair[:-1]])]
         depth *= 2
     return sa, rank[:n]
 
@@ -88,25 +101,23 @@ def repeated_in_shard(b, valid):
     if len(b) < LENGTH:
         return out
     sa, rank = suffix_array(b)
-    tied = np.flatnonzero(rank[sa][1:] == rank[sa][:-1])  # equal to a depth of 128
-    rest = np.flatnonzero(rank[sa][1:] != rank[sa][:-1])
+    r = rank[sa]
+    rest = np.flatnonzero(r[1:] != r[:-1])  # the others are equal to a depth past LENGTH
     a, p = sa[rest + 1], sa[rest]
     wide = np.r_[b, np.zeros(128, np.uint8)]
-    close = np.ones(len(a), bool)
-    for at in (0, 15, 31, 63, 99):
-        k = np.flatnonzero(close)
-        close[k] = wide[a[k] + at] == wide[p[k] + at]
-    k = np.flatnonzero(close)
-    k = k[np.argsort(a[k], kind="stable")]
-    lcp = np.zeros(len(b), np.int64)
-    if len(k):
-        lcp[rest[k] + 1] = common_prefixes(b, a[k], p[k])
-    lcp[tied + 1] = 128
-    run = _heads(lcp < LENGTH)
-    use = valid[sa]
-    earliest = np.full(len(b), len(b), np.int64)
-    np.minimum.at(earliest, run[use], sa[use])
-    out[sa[use]] = earliest[run[use]] < sa[use]
+    close = np.arange(len(a))
+    for at in (15, 31, 63, 99):
+        close = close[wide[a[close] + at] == wide[p[close] + at]]
+    close = close[np.argsort(a[close])]
+    lcp = np.full(len(b), LENGTH, np.int64)
+    lcp[0] = 0
+    lcp[rest + 1] = 0
+    if len(close):
+        lcp[rest[close] + 1] = common_prefixes(b, a[close].astype(np.int64), p[close].astype(np.int64))
+    begin = np.flatnonzero(lcp < LENGTH)
+    least = np.minimum.reduceat(np.where(valid[sa], sa, len(b)), begin)
+    again = np.repeat(least, np.diff(np.r_[begin, len(b)])) < sa
+    out[sa] = again & valid[sa]
     return out
 
 
