@@ -11,7 +11,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-TASK_BYTES = 32 << 20
+TASK_BYTES = 16 << 20
 
 
 def table(spark, sf_dir, name):
@@ -224,7 +224,7 @@ class Rolling:
     BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
     def __init__(self, b, which=0):
-        room = 1 << max(22, int(len(b) + 1).bit_length())
+        room = 1 << max(21, int(len(b) + 1).bit_length())
         up, self.down, byte = _powers(self.BASES[which], room)
         self.sums = np.zeros(len(b) + 1, np.uint64)
         with np.errstate(over="ignore"):

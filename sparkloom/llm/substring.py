@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Rolling, Shards, fill, mixed, pieces, plain_rows, route, row_orders, runs_of, settle_first, split_by, table, word_spans
 
 WINDOW = 50
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 ROW_BITS = 24  # counters of a sketch row in a slice: some six for each window
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -107,9 +107,16 @@ def _settle_estimates(asked):
         values.append(np.cumsum(gaps, dtype=np.uint32))
         more.append(values[-1][np.unpackbits(np.frombuffer(d, np.uint8, offset=4 + 4 * n))[:n] == 1])
     every = np.concatenate(values + more)
-    high = np.uint32(32 - ROW_BITS)
-    low = np.uint32((1 << ROW_BITS) - 1)
-    rows = [np.bincount(x, minlength=1 << ROW_BITS) > 1 for x in (every & low, every >> high)]
+    high, low = np.uint32(32 - ROW_BITS), np.uint32((1 << ROW_BITS) - 1)
+
+    def full(slots):
+        """Counters of a row that are two or more."""
+        slots = np.sort(slots)
+        out = np.zeros(1 << ROW_BITS, bool)
+        out[slots[1:][slots[1:] == slots[:-1]]] = True
+        return out
+
+    rows = full(every & low), full(every >> high)
     for (s, _), v in zip(asked, values):
         found = rows[0][v & low] & rows[1][v >> high]
         if found.any():
