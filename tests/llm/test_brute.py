@@ -9,6 +9,7 @@ from math import log10
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, decontam, embed, langid, lmscore, mixing, simhash, substring, suffix, warc
 
@@ -170,16 +171,40 @@ def test_lm(spark):
     c = Counter(x for i, v in toks.items() if i not in held for x in v)
     n, v = sum(c.values()), len(c)
     docs = frame(spark)
-    train = docs.where("not (crc32(cast(cast(doc_id as string) as binary)) % 7 = 2)")
-    got = {r.doc_id: r for r in lmscore.score(docs, lmscore.fit(train)).collect()}
+    train = F.expr("not (crc32(cast(cast(doc_id as string) as binary)) % 7 = 2)")
+    got = {r.doc_id: r for r in lmscore.score(docs, train).collect()}
     for i, t in toks.items():
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[x] > 0 for x in t), n)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.train) == (len(t), sum(c[x] > 0 for x in t), n, i not in held)
         assert r.base_score == pytest.approx(sum(log10((c[x] + 1) / (n + v + 1)) for x in t))
-        assert r.score < 0
+        assert r.score < 0 and r.perplexity == pytest.approx(10 ** (-r.score / len(t)))
     empty = docs.limit(0)
-    assert lmscore.score(empty, lmscore.fit(empty)).count() == 0
-    assert lmscore.score(docs, lmscore.fit(empty)).agg({"n_known": "max"}).first()[0] == 0
+    assert lmscore.score(empty, F.lit(True)).count() == 0
+    assert lmscore.score(docs, F.lit(False)).agg(F.max("n_known"), F.min("score")).first()[:] == (0, 0.0)
+
+
+def test_exchange_moves_as_the_whole_likelihood_says():
+    r = np.random.default_rng(5)
+    n = r.poisson(1.5, (14, 14)).astype(float)
+    f = lmscore.likelihood_terms
+
+    def whole(cls):
+        one = np.eye(5)[cls]
+        m = one.T @ n @ one
+        return f(m).sum() - f(m.sum(1)).sum() - f(m.sum(0)).sum()
+
+    cls = np.r_[np.arange(12) % 3 + 1, 4, 0]
+    one = np.eye(5)[cls]
+    m = one.T @ n @ one
+    for w in [*range(12)] * 3:
+        want = [whole(np.r_[cls[:w], k, cls[w + 1 :]]) for k in (1, 2, 3)]
+        best, m = lmscore.best_class(n, m, cls, w, 4)
+        assert want[best - 1] == pytest.approx(max(want))
+        cls[w] = best
+        one = np.eye(5)[cls]
+        assert np.allclose(m, one.T @ n @ one)
+    again, _ = lmscore.exchange(n, 4)
+    assert all(whole(again) >= whole(np.r_[again[:w], k, again[w + 1 :]]) - 1e-6 for w in range(12) for k in (1, 2, 3))
 
 
 def test_language_held_out(spark):
