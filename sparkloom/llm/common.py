@@ -1,4 +1,5 @@
 """Shared helpers: staged tables, documents packed in shards, exchanges between shards, and distributed components."""
+import contextlib
 import functools
 import itertools
 import uuid
@@ -48,6 +49,18 @@ def discard(df):
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark, size="8m"):
+    """While jobs run inside, Arrow batches hold some 8 MB, whatever the session says."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def long_hash(x):
     """Spark's Murmur3 hash (seed 42) of longs; it names the bucket of a bucketed table."""
     x = np.asarray(x, np.int64).view(np.uint64)
@@ -125,7 +138,10 @@ class Shards:
         out = d.mapInArrow(pack, "shard long, ids array<long>, flags array<boolean>, carried array<string>, lens array<long>, " + kind)
         name = "sparkloom_" + uuid.uuid4().hex
         self.path = new_path(spark)
-        out.write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, "shard").saveAsTable(name)
+        # small row groups: writers and readers hold a few shards at a time, however many a bucket has
+        small = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.block.row.count.limit": "4"}
+        with small_batches(spark):
+            out.write.option("path", self.path).options(**small).bucketBy(buckets, "shard").saveAsTable(name)
         self.rows = spark.table(name)
 
     def with_answers(self, rows, answers, name):
@@ -158,7 +174,8 @@ class Shards:
 
         asked = rows.mapInArrow(ask, "bucket int, shard long, data binary").repartitionById(spread, F.col("bucket"))
         answered = asked.mapInArrow(answer, "shard long, bucket int, data binary")
-        return staged(answered.groupBy("shard").agg(F.collect_list(F.struct("bucket", "data")).alias("got")))
+        with small_batches(self.spark):
+            return staged(answered.groupBy("shard").agg(F.collect_list(F.struct("bucket", "data")).alias("got")))
 
 
 def plain_rows(batch):
