@@ -1,155 +1,120 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Document passages (WINDOW words, half overlapping) are TF-IDF rows over hashed terms; a distributed randomised SVD gives
-latent axes, in which the cosine of each match is given. Passages are checked by longest common subsequence, with the
-item's last words as its answer, wherever word counts leave it possible; no cosine keeps a passage from that check. Benchmark
-passages of up to 24 words meet document windows of 24 words, longer ones meet windows of 48. The benchmark is the stated query set and is taken in blocks of BLOCK items.
-Null and empty texts match nothing; null item ids keep their matches under null; repeated rows match alike; empty tables
-give no matches; extra columns are ignored.
+Document passages are TF-IDF rows over hashed terms (a term counts once in a chunk); a distributed randomised SVD over all documents gives latent axes.
+Benchmark passages and document windows meet in these axes: pairs of a cosine of at least NEAR are candidates. A candidate
+is kept if the words that both hold leave it possible, and then if the longest common subsequence of the benchmark passage
+and the window with its neighbourhood covers SHARE of the passage, or SHARE_WITH_ANSWER where the item's last words, its
+answer, stand there as they are. Passages of up to SHORT words meet windows of SHORT words, longer ones windows of WINDOW;
+items longer than a window are cut in overlapping passages. The benchmark is the stated query set, taken in blocks of BLOCK
+passages, so what is broadcast is bounded.
+Of several windows the one with the greatest share counts, the first of equals. Null and empty texts match nothing; null
+item and document ids keep their matches under null; repeated rows match alike; empty tables give no matches; extra
+columns are ignored; whole texts of any length are searched. Words are known by a 64-bit hash.
 """
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Rolling, add_up, raw, runs_of, table, word_spans
 
+CHUNK = 12
+SHORT = 24
 WINDOW = 48
-STRIDE = 24
-ITEM_STRIDE = 8
+ITEM_STRIDE = 16
 TERM_BITS = 15
 RANK = 48
-SHORT = 24
+NEAR = 0.2
 SHARE = 0.6
 SHARE_WITH_ANSWER = 0.45
 ANSWER_WORDS = 5
-BLOCK = 2000
-FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
-
-
-def words(text):
-    return (text or "").encode().translate(FOLD).split()
-
-
-def _terms(ws, known):
-    out = []
-    for w in ws:
-        t = known.get(w)
-        if t is None:
-            if len(known) > 500_000:
-                known.clear()
-            t = known[w] = xxhash.xxh64_intdigest(w) >> (64 - TERM_BITS)
-        out.append(t)
-    return np.array(out, np.int64)
-
-
-def _spans(n, stride, window=WINDOW):
-    """Begin and end of each passage of n words; the last one ends with the text."""
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = np.arange(0, max(1, n - window + stride), stride)
-    begin = np.minimum(begin, max(0, n - window))
-    begin = np.unique(begin)
-    return begin, np.minimum(begin + window, n)
-
-
-def _latent(terms, begin, end, axes):
-    """Unit latent vectors of passages: sums of weighted term rows between the passages' bounds, then prefix sums of these."""
-    bounds = np.unique(np.concatenate([[0], begin, end]))
-    part = np.add.reduceat(axes[terms], bounds[bounds < len(terms)], axis=0)
-    s = np.zeros((len(part) + 1, axes.shape[1]))
-    np.cumsum(part, axis=0, out=s[1:])
-    x = s[np.searchsorted(bounds, end)] - s[np.searchsorted(bounds, begin)]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def _groups(texts, known, size=1 << 17):
-    """Consecutive texts of about size words: (index of each text, its words, its terms)."""
-    out, n = [], 0
-    for i, t in enumerate(texts):
-        ws = words(t)
-        if ws:
-            out.append((i, ws, _terms(ws, known)))
-            n += len(ws)
-        if n >= size:
-            yield out
-            out, n = [], 0
-    if out:
-        yield out
-
-
-def _chunks(group):
-    """All terms of a group, the STRIDE-word chunk of each, and whether the chunk after it is of the same text."""
-    ids = np.concatenate([t for _, _, t in group])
-    n = np.array([len(t) for _, _, t in group])
-    chunks = -(-n // STRIDE)
-    first = np.cumsum(chunks) - chunks
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-    joined = np.ones(int(chunks.sum()), bool)
-    joined[first + chunks - 1] = False
-    return ids, at // STRIDE + np.repeat(first, n), joined
+BLOCK = 1 << 16
+GROUP_BYTES = 1 << 20
+FOLD = np.array([c if c > 127 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
+FOLD[65:91] += 32
+
+
+class Words:
+    """Word hashes of texts that follow one another in b, their documents, and their chunks of so many words."""
+
+    def __init__(self, b, lens):
+        b = FOLD[b]
+        begin, end, self.doc = word_spans(b, lens)
+        self.hash = Rolling(b)(begin, end)
+        self.term = (self.hash >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+        self.size = np.bincount(self.doc, minlength=len(lens))
+
+    def chunks(self, words):
+        """Chunk of each word, first word of each chunk, and whether the chunk after it is of the same text."""
+        inside = np.arange(len(self.doc)) - (np.cumsum(self.size) - self.size)[self.doc]
+        first = np.flatnonzero(inside % words == 0)
+        doc = self.doc[first]
+        return np.cumsum(inside % words == 0) - 1, first, np.r_[doc[1:] == doc[:-1], False] if len(doc) else np.zeros(0, bool)
+
+    def once(self, chunk):
+        """Places of the words whose term is not there earlier in the chunk: a term counts once, or junk would drown a passage."""
+        key = chunk << TERM_BITS | self.term
+        by = np.argsort(key, kind="stable")
+        keep = np.ones(len(key), bool)
+        keep[by[1:]] = key[by[1:]] != key[by[:-1]]
+        return np.flatnonzero(keep)
+
+
+def _groups(batches):
+    """(first row, Words, batch) of consecutive texts of about GROUP_BYTES."""
+    for batch in batches:
+        data, begin, lens = raw(batch.column("text"))
+        lo = 0
+        for cut in [*np.flatnonzero(np.diff(np.cumsum(lens) // GROUP_BYTES)).tolist(), len(lens) - 1] if len(lens) else []:
+            if cut + 1 > lo:
+                part = lens[lo : cut + 1]
+                w = Words(data[begin[lo] : begin[lo] + part.sum()], part)
+                if len(w.doc):
+                    yield lo, w, batch
+                lo = cut + 1
 
 
 def fit(docs, rank=RANK, seed=5):
     """Latent axes weighted by inverse document frequency: one pass for frequencies, one for the sketch.
 
-    A passage here is a chunk of STRIDE words with the chunk after it, the last one alone. Partial sums meet by term block
-    in a shuffle that adds them as they stream by; the driver gets one array of fixed size.
+    A passage here is a chunk of 24 words with the chunk after it. The driver gets arrays of fixed size.
     """
-    size, blocks = 1 << TERM_BITS, 32
-
-    def total(width, add):
-        def run(batches):
-            out, known = np.zeros((size, width)), {}
-            for pdf in batches:
-                for group in _groups(pdf.text, known):
-                    add(out, *_chunks(group))
-            yield pd.DataFrame({"k": range(blocks), "m": [x.ravel().astype(np.float32) for x in np.split(out, blocks)]})
-
-        def fold(batches):
-            k, s = None, None
-            for pdf in batches:
-                for key, m in zip(pdf.k, pdf.m):
-                    if key != k:
-                        if k is not None:
-                            yield pd.DataFrame({"k": [k], "m": [s.astype(np.float32)]})
-                        k, s = key, np.zeros(len(m))
-                    s += m
-            if k is not None:
-                yield pd.DataFrame({"k": [k], "m": [s.astype(np.float32)]})
-
-        kind = "k int, m array<float>"
-        got = docs.select("text").mapInPandas(run, kind).repartition("k").sortWithinPartitions("k").mapInPandas(fold, kind).toArrow()
-        out = np.zeros((blocks, size // blocks * width))
-        for k, m in zip(got["k"].to_pylist(), got["m"]):
-            out[k] = m.values.to_numpy()
-        return out.reshape(size, width)
-
-    def frequencies(out, ids, chunk, joined):
-        before = np.append(False, joined)[chunk]
-        key = np.unique(np.concatenate([chunk * size + ids, (chunk[before] - 1) * size + ids[before]]))
-        out[:, 0] += np.bincount(key % size, minlength=size)
-        out[0, 1] += len(joined)
-
-    f = total(2, frequencies)
-    n = f[0, 1]
-    idf = np.log((1 + n) / (1 + f[:, 0]))
-    omega = np.random.default_rng(seed).normal(size=(size, rank)) * idf[:, None]
-    shared = docs.sparkSession.sparkContext.broadcast((idf.astype(np.float32), omega.astype(np.float32)))
-
-    def sketch(out, ids, chunk, joined):
-        y = np.add.reduceat(shared.value[1][ids], np.flatnonzero(np.diff(chunk, prepend=-1)), axis=0)
-        y[:-1] += y[1:] * joined[:-1, None]
-        z = y.copy()
-        z[1:] += y[:-1] * joined[:-1, None]
-        # each term gets the sum of the rows of the passages that hold it
-        order = np.argsort(ids.astype(np.uint16), kind="stable")
-        term = ids[order]
-        start = np.flatnonzero(np.diff(term, prepend=-1))
-        out[term[start]] += np.add.reduceat(z[chunk[order]], start, axis=0)
-
-    q, _ = np.linalg.qr(total(rank, sketch) * idf[:, None])
-    return q * idf[:, None]
+    size, texts = 1 << TERM_BITS, docs.select(F.col("text").cast("binary").alias("text"))
+
+    def frequencies(batches):
+        out = np.zeros(size + 1)
+        for _, w, _ in _groups(batches):
+            chunk, first, joined = w.chunks(SHORT)
+            before = np.append(False, joined)[chunk]
+            key = np.concatenate([chunk * size + w.term, (chunk[before] - 1) * size + w.term[before]])
+            key.sort()
+            out[:size] += np.bincount(key[runs_of(key)] % size, minlength=size)
+            out[size] += len(first)
+        return out
+
+    f = add_up(texts, frequencies, size + 1)
+    idf = np.log((1 + f[size]) / (1 + f[:size]))
+    omega = (np.random.default_rng(seed).normal(size=(size, rank)) * idf[:, None]).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(omega)
+
+    def sketch(batches):
+        out = np.zeros((size, rank))
+        for _, w, _ in _groups(batches):
+            chunk, first, joined = w.chunks(SHORT)
+            at = w.once(chunk)
+            chunk, terms = chunk[at], w.term[at]
+            y = np.add.reduceat(shared.value[terms], runs_of(chunk), axis=0)
+            y[:-1] += y[1:] * joined[:-1, None]
+            z = y.copy()
+            z[1:] += y[:-1] * joined[:-1, None]
+            # each term gets the sum of the rows of the passages that hold it
+            order = np.argsort(terms.astype(np.uint16), kind="stable")
+            term = terms[order]
+            start = runs_of(term)
+            out[term[start]] += np.add.reduceat(z[chunk[order]], start, axis=0)
+        return out.ravel()
+
+    q, _ = np.linalg.qr(add_up(texts, sketch, size * rank).reshape(size, rank) * idf[:, None])
+    return (q * idf[:, None]).astype(np.float32)
 
 
 def lcs(a, b):
@@ -161,120 +126,145 @@ def lcs(a, b):
     v = full
     for w in b:
         u = v & place.get(w, 0)
-        v = ((v + u) | (v - u)) & full
+        if u:
+            v = ((v + u) | (v - u)) & full
     return len(a) - v.bit_count()
 
 
-def matches(docs, benchmark, axes=None):
+def unit(x):
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+class Passages:
+    """Benchmark passages of one kind: items, word numbers in a vocabulary of their own, answers, unit latent vectors."""
+
+    def __init__(self, rows, axes, short):
+        self.window, self.stride = (SHORT, CHUNK) if short else (WINDOW, SHORT)
+        self.items = [r[0] for r in rows]
+        self.length = np.array([len(r[1]) for r in rows])
+        self.vocab = np.unique(np.concatenate([np.concatenate(r[1:]) for r in rows]))
+        place = lambda h: np.searchsorted(self.vocab, h)
+        self.words = np.full((len(rows), self.length.max()), len(self.vocab))
+        self.answers = [place(r[2]) for r in rows]
+        for row, (_, h, _) in zip(self.words, rows):
+            row[: len(h)] = place(h)
+        self.parts = [place(r[1]).tolist() for r in rows]
+        # an answer of fewer words repeats; the place after the vocabulary is always there
+        self.last = np.stack([np.resize(a, ANSWER_WORDS) for a in self.answers])
+        self.vectors = unit(np.stack([axes[np.unique((r[1] >> np.uint64(64 - TERM_BITS)).astype(np.int64))].sum(0) for r in rows]))
+
+
+def _passages(block, axes):
+    rows = []
+    for item, text in block:
+        b = np.frombuffer((text or "").encode(), np.uint8)
+        h = Words(b, np.array([len(b)])).hash
+        for at in range(0, max(1, len(h) - WINDOW + ITEM_STRIDE), ITEM_STRIDE) if len(h) else []:
+            at = max(0, min(at, len(h) - WINDOW))
+            rows.append((item, h[at : at + WINDOW], h[-ANSWER_WORDS:]))
+    kinds = [[r for r in rows if (len(r[1]) <= SHORT) == short] for short in (True, False)]
+    return [Passages(r, axes, short) for r, short in zip(kinds, (True, False)) if r]
+
+
+def _windows(w, axes):
+    """First word, document and latent sums of all chunks."""
+    chunk, first, joined = w.chunks(CHUNK)
+    at = w.once(chunk)
+    return first, w.doc[first], np.add.reduceat(axes[w.term[at]], runs_of(chunk[at]), axis=0), joined
+
+
+def search(w, kinds, axes, near):
+    """(document, item, cosine, share, answer) of all verified pairs of a group, window by window."""
+    first, doc, part, joined = _windows(w, axes)
+    ends = np.cumsum(w.size)
+    begins = ends - w.size
+    for p in kinds:
+        x, on = part.copy(), np.ones(len(part), bool)
+        for k in range(1, p.window // CHUNK):
+            on = on[: len(part) - k] & joined[k - 1 : len(part) - 1] if k > 1 else joined[: len(part) - 1]
+            x[: len(part) - k] += part[k:] * on[:, None]
+        use = np.flatnonzero((first - begins[doc]) % p.stride == 0)
+        x = unit(x[use])
+        place = np.minimum(np.searchsorted(p.vocab, w.hash), len(p.vocab) - 1)
+        place[p.vocab[place] != w.hash] = -1
+        step = max(64, (1 << 22) // len(p.items))
+        for at in range(0, len(use), step):
+            cos = x[at : at + step] @ p.vectors.T
+            i, j = np.nonzero(cos >= near)
+            for lo in range(0, len(i), 1 << 16):
+                a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                yield from _verify(w, p, first[use[at + a]], b, cos[a, b], place, begins, ends)
+
+
+def _verify(w, p, start, part, cos, place, begins, ends):
+    """Of candidates (first word of the window, passage), those whose words, and then whose order, cover enough."""
+    doc = w.doc[start]
+    lo, hi = np.maximum(start - p.stride, begins[doc]), np.minimum(start + p.window + p.stride, ends[doc])
+    window = np.cumsum(np.r_[True, start[1:] != start[:-1]]) - 1
+    for cut in np.split(np.arange(len(start)), np.flatnonzero(np.diff(window // 512)) + 1):
+        at = window[cut] - window[cut[0]]
+        head = cut[np.r_[True, at[1:] != at[:-1]]]
+        n = hi[head] - lo[head]
+        have = np.zeros((len(head), len(p.vocab) + 1), bool)
+        words = place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[head], n)]
+        have[np.repeat(np.arange(len(head)), n), words] = True
+        have[:, -1] = False  # words of no passage
+        mine = part[cut]
+        most = have[at[:, None], p.words[mine]].sum(1) / p.length[mine]
+        answers = have[at[:, None], p.last[mine]].all(1)
+        for k in np.flatnonzero((most >= SHARE) | ((most >= SHARE_WITH_ANSWER) & answers)).tolist():
+            c, j = cut[k], int(mine[k])
+            near = place[lo[c] : hi[c]]
+            share = lcs(p.parts[j], near.tolist()) / p.length[j]
+            found = bool(answers[k]) and share >= SHARE_WITH_ANSWER and _contains(near, p.answers[j])
+            if share >= SHARE or found:
+                yield int(doc[c]), p.items[j], float(cos[c]), float(share), found
+
+
+def _contains(words, answer):
+    n = len(words) - len(answer) + 1
+    return n > 0 and bool(np.all([words[k : k + n] == a for k, a in enumerate(answer)], axis=0).any())
+
+
+RESULT = "doc_id long, item_id long, cosine double, share double, answer boolean"
+
+
+def matches(docs, benchmark, axes=None, near=NEAR):
     """(doc_id, item_id, cosine, share, answer): best verified match of each document and item."""
     spark = docs.sparkSession
     axes = fit(docs) if axes is None else axes
-    items, out, block = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator(), None, []
-
-    def search(block):
-        known, rows, vecs = {}, [], []
-        for item, text in block:
-            ws = words(text)
-            begin, end = _spans(len(ws), ITEM_STRIDE)
-            if len(begin):
-                vecs.append(_latent(_terms(ws, known), begin, end, axes))
-                rows += [(item, ws[b:e], ws[-ANSWER_WORDS:]) for b, e in zip(begin.tolist(), end.tolist())]
-        if not rows:
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()), ("answer", pa.bool_())])
+
+    def found(block):
+        kinds = _passages(block, axes)
+        if not kinds:
             return None
-        vecs, kinds = np.concatenate(vecs).astype(np.float32), []
-        for short in (True, False):
-            use = [j for j, (_, p, _) in enumerate(rows) if (len(p) <= SHORT) == short]
-            if not use:
-                continue
-            mine = [rows[j] for j in use]
-            voc = np.unique(np.concatenate([_terms(p, known) for _, p, _ in mine]))
-            held = np.zeros((len(voc), len(mine)), np.uint8)
-            last = np.zeros((len(mine), ANSWER_WORDS), np.int64)
-            for j, (_, p, answer) in enumerate(mine):
-                np.add.at(held[:, j], np.searchsorted(voc, _terms(p, known)), 1)
-                t = _terms(answer, known)
-                at = np.minimum(np.searchsorted(voc, t), len(voc) - 1)
-                last[j] = np.resize(np.where(voc[at] == t, at, len(voc)), ANSWER_WORDS)
-            kinds.append((mine, vecs[use], voc, held, last, *((SHORT, SHORT // 2) if short else (WINDOW, STRIDE))))
-        shared = spark.sparkContext.broadcast((axes.astype(np.float32), kinds))
+        shared = spark.sparkContext.broadcast((axes, kinds))  # at most BLOCK passages and axes of fixed size
 
         def run(batches):
-            ax, kinds = shared.value
-            known, ready = {}, []
-            for mine, q, voc, held, last, window, stride in kinds:
-                place = np.full(1 << TERM_BITS, -1, np.int64)
-                place[voc] = np.arange(len(voc))
-                length = np.array([len(p) for _, p, _ in mine])
-                # the answer of a part that lacks some of its words cannot be ruled out by the part's vocabulary
-                ready.append((mine, q, voc, held, last, window, stride, place, length, [b" ".join(a) for _, _, a in mine]))
-
-            def could(ids, lo, hi, voc, held, place):
-                """Words of each part found in each window, an upper bound of their longest common subsequence, and the words held."""
-                n = hi - lo
-                win = np.repeat(np.arange(len(n)), n)
-                c = place[ids[np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]]
-                key = np.unique((win * len(voc) + c)[c >= 0])
-                out = np.zeros((len(n), held.shape[1]), np.uint8)
-                have = np.zeros((len(n), len(voc) + 1), bool)
-                have[:, -1] = True
-                if len(key):
-                    win = key // len(voc)
-                    have[win, key % len(voc)] = True
-                    start = np.flatnonzero(np.diff(win, prepend=-1))
-                    out[win[start]] = np.add.reduceat(held[key % len(voc)], start, axis=0, dtype=np.uint8)
-                return out, have
-
-            for pdf in batches:
-                out, doc_ids = [], pdf.doc_id.tolist()
-                for group in _groups(pdf.text, known):
-                    ids, best = np.concatenate([t for _, _, t in group]), {}
-                    for mine, q, voc, held, last, window, stride, place, length, answers in ready:
-                        off, span = 0, []
-                        for k, (_, ws, _) in enumerate(group):
-                            s, e = _spans(len(ws), stride, window)
-                            span.append(np.stack([s + off, e + off, np.maximum(0, s - stride) + off, np.minimum(len(ws), e + stride) + off, np.full(len(s), k), np.full(len(s), off)]))
-                            off += len(ws)
-                        span, step = np.concatenate(span, 1), max(64, (1 << 18) // len(mine))
-                        for at in range(0, span.shape[1], step):
-                            s, e, lo, hi, doc, base = span[:, at : at + step]
-                            most, have = could(ids, lo, hi, voc, held, place)
-                            most = most / length
-                            i, j = np.nonzero(most >= SHARE_WITH_ANSWER)
-                            open_ = (most[i, j] >= SHARE) | have[i[:, None], last[j]].all(1)
-                            near_to, text = None, b""
-                            for i, j in zip(i[open_].tolist(), j[open_].tolist()):
-                                item, part, _ = mine[j]
-                                k = int(doc[i])
-                                if best.get((k, item), (0, 0))[1] >= SHARE:
-                                    continue
-                                if near_to != i:
-                                    near = group[k][1][int(lo[i] - base[i]) : int(hi[i] - base[i])]
-                                    near_to, text = i, b" ".join(near)
-                                found = answers[j] in text
-                                if not found and most[i, j] < SHARE:
-                                    continue
-                                share = lcs(part, near) / len(part)
-                                if share >= SHARE or (found and share >= SHARE_WITH_ANSWER):
-                                    v = ax[ids[s[i] : e[i]]].sum(0, dtype=float)
-                                    c = (float(v @ q[j] / max(np.linalg.norm(v), 1e-12)), share, found)
-                                    if (k, item) not in best or c[1] > best[k, item][1]:
-                                        best[k, item] = c
-                    out += [(doc_ids[group[k][0]], item, *c) for (k, item), c in best.items()]
-                got = pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "share", "answer"])
-                yield got.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, item_id long, cosine double, share double, answer boolean")
-
-    def add(out, block):
-        part = search(block)
-        return out if part is None else part if out is None else out.unionByName(part)
-
-    for r in items:
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            out, block = add(out, block), []
-    out = add(out, block) if block else out
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, cosine double, share double, answer boolean")
+            axes, kinds = shared.value
+            for lo, w, batch in _groups(batches):
+                best = {}
+                for doc, item, *rest in search(w, kinds, axes, near):
+                    if rest[1] > best.get((doc, item), (0, 0))[1]:
+                        best[doc, item] = rest
+                ids = batch.column("doc_id")
+                rows = [(ids[lo + doc].as_py(), item, *rest) for (doc, item), rest in best.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), schema.types)], schema=schema)
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, RESULT)
+
+    out, block, size = None, [], 0
+    for r in [*benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator(), None]:
+        if r is not None:
+            block.append((r[0], r[1]))
+            size += 1 + len(r[1] or "") // (2 * ITEM_STRIDE)
+        if block and (r is None or size >= BLOCK):
+            part = found(block)
+            out = part if out is None else out if part is None else out.unionByName(part)
+            block, size = [], 0
+    return out if out is not None else spark.createDataFrame([], RESULT)
 
 
 def query(spark, sf_dir):
