@@ -1,64 +1,62 @@
 """Embedding near-dedup inside labels: PCA-ordered tiles, residual bounds by suffix norms, exact links.
 
-Null labels and null, zero or non-finite vectors (or null components) link with nothing and keep their rows; equal
-vectors of a label collapse before any comparison; vectors of other lengths never link; null vec_ids keep their row with
-a null component; repeated rows count as further vectors; an empty table gives no rows.
+Vectors are rotated to the principal axes. The first three axes are cut in cells as wide as two linked vectors can lie
+apart, so only neighbouring cells meet; a full cell is cut in as many tiles as it needs. A pair's product is summed from
+the leading axes on and given up once the norms of what is left cannot reach the threshold; products at the threshold
+are made again from the vectors as they came.
+Null labels and null, zero or non-finite vectors (or null components) link with nothing and keep their rows; equal vectors
+of a label collapse before any comparison; vectors of other lengths never link; repeated rows, also under one vec_id,
+count as further vectors; a null vec_id keeps its row, its component is the least vec_id it reaches, null if there is
+none, and it is kept only then; an empty table gives no rows; extra columns are ignored.
 """
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from .common import components, forest, staged, table
+from .common import add_up, components, forest, staged, table
 
 THRESHOLD = 0.93
-TILE = 1024
+TILE = 2048
 LEAD = 16
+AXES = 3
 
 
-def _rotation(unit, dim):
-    """Principal axes, by falling variance, from one pass of d x d sums."""
+def _rotation(groups, dim):
+    """Principal axes, by falling variance, from d x d sums that are added up in a shuffle."""
 
     def run(batches):
         s = np.zeros((dim, dim))
-        for pdf in batches:
-            x = _unit(pdf.v)
+        for batch in batches:
+            x = _unit(batch.column("v").flatten().to_numpy().reshape(-1, dim))
             s += x.T @ x
-        yield pd.DataFrame({"m": [s.ravel()]})
+        return s.ravel()
 
-    s = np.zeros((dim, dim))
-    for r in unit.where(F.size("v") == dim).select("v").mapInPandas(run, "m array<double>").toLocalIterator():
-        s += np.array(r.m).reshape(dim, dim)
-    return np.linalg.eigh(s)[1][:, ::-1]
+    return np.linalg.eigh(add_up(groups.select("v"), run, dim * dim).reshape(dim, dim))[1][:, ::-1]
 
 
-def _unit(column):
-    x = np.array(column.tolist(), np.float64)
-    x /= np.abs(x).max(1, keepdims=True)
+def _unit(x):
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_pairs(x, y, threshold=THRESHOLD, lead=LEAD):
-    """Index pairs with dot product >= threshold of PCA-ordered unit rows; partial sums are bounded by suffix norms."""
-    out_a, out_b = [], []
-    sy = np.sqrt(np.maximum(0, 1 - (y[:, :lead] ** 2).sum(1)))
-    for lo in range(0, len(x), 512):
-        p = x[lo : lo + 512]
-        sp = np.sqrt(np.maximum(0, 1 - (p[:, :lead] ** 2).sum(1)))
-        part = p[:, :lead] @ y[:, :lead].T
-        a, b = np.nonzero(part + np.outer(sp, sy) >= threshold - 1e-9)
-        if len(a) > 0.1 * part.size:
-            a, b = np.nonzero(part + p[:, lead:] @ y[:, lead:].T >= threshold)
-        else:
-            dot, at = part[a, b], lead
-            while at < x.shape[1]:
-                dot = dot + np.einsum("ij,ij->i", p[a, at : at + lead], y[b, at : at + lead])
-                at += lead
-                ra, rb = np.sqrt((p[:, at:] ** 2).sum(1)), np.sqrt((y[:, at:] ** 2).sum(1))
-                live = dot + ra[a] * rb[b] >= threshold - (1e-9 if at < x.shape[1] else 0)
-                a, b, dot = a[live], b[live], dot[live]
-        out_a.append(a + lo)
-        out_b.append(b)
-    return np.concatenate(out_a), np.concatenate(out_b)
+def near_pairs(x, y, axes, threshold=THRESHOLD, lead=LEAD):
+    """Index pairs of unit rows with product >= threshold; partial sums on the axes are bounded by suffix norms."""
+    p, q = x @ axes, y @ axes
+    ends = [*range(lead, x.shape[1], lead), x.shape[1]] if x.shape[1] > lead else [x.shape[1]]
+    rest = lambda z: [np.sqrt(np.maximum(0, (z[:, e:] ** 2).sum(1))) for e in ends]
+    rp, rq, found = rest(p), rest(q), []
+    for lo in range(0, len(p), 256):
+        part = p[lo : lo + 256, : ends[0]] @ q[:, : ends[0]].T
+        a, b = np.nonzero(part + np.outer(rp[0][lo : lo + 256], rq[0]) >= threshold - 1e-9)
+        dot, a = part[a, b], a + lo
+        for k in range(1, len(ends)):
+            dot = dot + np.einsum("ij,ij->i", p[a, ends[k - 1] : ends[k]], q[b, ends[k - 1] : ends[k]])
+            live = dot + rp[k][a] * rq[k][b] >= threshold - 1e-9
+            a, b, dot = a[live], b[live], dot[live]
+        close = dot < threshold + 1e-9
+        dot[close] = np.einsum("ij,ij->i", x[a[close]], y[b[close]])
+        found.append((a[dot >= threshold], b[dot >= threshold]))
+    return tuple(np.concatenate(z) for z in zip(*found))
 
 
 def near_duplicates(emb, threshold=THRESHOLD):
@@ -66,59 +64,62 @@ def near_duplicates(emb, threshold=THRESHOLD):
     e = emb.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.expr("label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     e = e.withColumn("ok", F.coalesce(good, F.lit(False)))
-    groups = staged(e.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    groups = e.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    groups = staged(groups.withColumn("gid", F.monotonically_increasing_id()))  # vec_ids may be null or repeat
     found = None
     for dim in [r[0] for r in groups.select(F.size("v")).distinct().collect()]:
         part = _links(groups.where(F.size("v") == dim), dim, threshold)
         found = part if found is None else found.unionByName(part)
-    plain = e.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = e.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if found is None:
-        return plain
+        return alone
     found = staged(found)
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    comp = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
-    reps = groups.join(counts, "rep", "left").join(comp, "rep", "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    linked = e.where("ok").join(reps, ["label", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    alone = e.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    counts = found.where("b < 0").groupBy(F.col("a").alias("gid")).agg(F.sum("n").alias("n"))
+    comp = components(found.where("b >= 0").select("a", "b")).withColumnRenamed("id", "gid")
+    whole = groups.join(counts, "gid", "left").join(comp, "gid", "left").withColumn("c", F.coalesce("component_id", "gid")).drop("component_id")
+    least = whole.groupBy("c").agg(F.min("rep").alias("component_id"))
+    reps = whole.join(least, "c").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = e.where("ok").join(reps, ["label", "v"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)
 
 
 def _links(groups, dim, threshold):
-    """Rows (a, null, n): a has n links to other vectors' copies; (a, b, 0): spanning links."""
+    """Rows (a, -1, n): a has n links to other vectors' copies; (a, b, 0): spanning links."""
     axes = _rotation(groups, dim)
+    lead = min(AXES, dim)
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
-    def rotate(batches):
+    def cells(batches):
         for pdf in batches:
-            y = _unit(pdf.v) @ axes
-            yield pd.DataFrame({"label": pdf.label, "rep": pdf.rep, "copies": pdf.copies, "y": list(y), "y0": y[:, 0]})
+            at = np.floor((_unit(np.array(pdf.v.tolist())) @ axes[:, :lead]) / reach).astype(int)
+            yield pd.DataFrame({"label": pdf.label, "gid": pdf.gid, "copies": pdf.copies, "v": pdf.v, "cell": list(at)})
 
     kind = dict(groups.dtypes)["label"]
-    y = staged(groups.select("label", "rep", "copies", "v").mapInPandas(rotate, f"label {kind}, rep long, copies long, y array<double>, y0 double"))
-    cut = y.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("y0", [i / 512 for i in range(1, 512)], 5000).alias("p"))
-    cut = cut.selectExpr("label", "array_distinct(filter(transform(sequence(1, least(511, ceil(n / %d))), i -> p[cast(i * 512 / (least(511, ceil(n / %d)) + 1) as int) - 1]), x -> x is not null)) as edge" % (TILE, TILE))
-    placed = y.join(cut, "label").withColumn("i", F.expr("size(filter(edge, x -> x <= y0))"))
-    # tiles k and i meet if the interval of k comes within reach of y0; the lower tile of a pair is the left side
-    dealt = placed.withColumn("k", F.explode(F.expr(f"filter(sequence(0, size(edge)), k -> (k = 0 or edge[greatest(k - 1, 0)] - y0 <= {reach!r}) and (k = size(edge) or y0 - edge[least(k, size(edge) - 1)] <= {reach!r}))")))
-    dealt = dealt.select("label", F.least("i", "k").alias("lo"), F.greatest("i", "k").alias("hi"), "i", "rep", "copies", "y")
+    rows = staged(groups.select("label", "gid", "copies", "v").mapInPandas(cells, f"label {kind}, gid long, copies long, v array<double>, cell array<int>"))
+    # cells of a label are at most a few hundred, whatever its size
+    tiles = rows.groupBy("label", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t")).groupBy("label").agg(F.collect_list(F.struct("cell", "t")).alias("all"))
+    near = F.expr("filter(all, o -> forall(zip_with(o.cell, cell, (p, q) -> abs(p - q)), d -> d <= 1))")
+    mine = F.expr("filter(all, o -> o.cell = cell)[0].t")
+    placed = rows.join(tiles, "label").withColumn("near", near).withColumn("me", F.struct("cell", F.pmod(F.xxhash64("gid"), mine).cast("int").alias("tile"))).drop("all", "cell")
+    # a row goes to every pair of tiles that holds its own; the lesser tile of a pair is its left side
+    other = F.expr("flatten(transform(near, o -> transform(sequence(0, o.t - 1), k -> named_struct('cell', o.cell, 'tile', cast(k as int)))))")
+    dealt = placed.withColumn("other", F.explode(other)).select("label", F.least("me", "other").alias("lo"), F.greatest("me", "other").alias("hi"), (F.col("me") <= F.col("other")).alias("left"), (F.col("me") >= F.col("other")).alias("right"), "gid", "copies", "v")
 
     def compare(pdf):
-        lo, hi = pdf.lo.iat[0], pdf.hi.iat[0]
-        one = pdf[pdf.i == lo]
-        two = one if lo == hi else pdf[pdf.i == hi]
+        one, two = pdf[pdf.left], pdf[pdf.right]
         if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "Int64", "b": "Int64", "n": "int64"})
-        a, b = near_pairs(np.array(one.y.tolist()), np.array(two.y.tolist()), threshold)
-        if lo == hi:
-            off = a != b
-            a, b = a[off], b[off]
-        ra, rb, ca, cb = one.rep.to_numpy(), two.rep.to_numpy(), one.copies.to_numpy(), two.copies.to_numpy()
-        rows = [(int(ra[i]), None, int(v)) for i, v in enumerate(np.bincount(a, cb[b], len(ra))) if v]
-        if lo != hi:
-            rows += [(int(rb[i]), None, int(v)) for i, v in enumerate(np.bincount(b, ca[a], len(rb))) if v]
-        both, shift = (ra, 0) if lo == hi else (np.concatenate([ra, rb]), len(ra))
+            return pd.DataFrame({"a": [], "b": [], "n": []}, dtype=np.int64)
+        same = bool(pdf.left.iat[0] and pdf.right.iat[0])
+        a, b = near_pairs(_unit(np.array(one.v.tolist())), _unit(np.array(two.v.tolist())), axes, threshold)
+        if same:
+            a, b = a[a != b], b[a != b]
+        ra, rb, ca, cb = one.gid.to_numpy(), two.gid.to_numpy(), one.copies.to_numpy(), two.copies.to_numpy()
+        rows = [(int(ra[i]), -1, int(v)) for i, v in enumerate(np.bincount(a, cb[b], len(ra))) if v]
+        if not same:
+            rows += [(int(rb[i]), -1, int(v)) for i, v in enumerate(np.bincount(b, ca[a], len(rb))) if v]
+        both, shift = (ra, 0) if same else (np.concatenate([ra, rb]), len(ra))
         rows += [(int(both[s]), int(both[t]), 0) for s, t in forest(a, b + shift, len(both))]
-        return pd.DataFrame(rows, columns=["a", "b", "n"]).astype({"a": "Int64", "b": "Int64", "n": "int64"})
+        return pd.DataFrame(rows, columns=["a", "b", "n"], dtype=np.int64)
 
     return dealt.groupBy("label", "lo", "hi").applyInPandas(compare, "a long, b long, n long")
 

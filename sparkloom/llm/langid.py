@@ -2,10 +2,12 @@
 
 The classifier is fitted on at most TRAIN_ROWS labelled rows (a documented bound); prediction reads every whole text.
 Texts that are null or hold no letter give 'und' with score 0; null langs never train; without any labelled row all
-texts give 'und'. Repeated rows predict alike; extra columns are ignored; an empty table gives no rows.
+texts give 'und'. Of equal scores the first class in the order of its name counts. Null ids keep their row; repeated rows
+predict alike; extra columns are ignored; an empty table gives no rows; texts of any length are read whole, in pieces.
 """
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from .common import table
@@ -30,7 +32,8 @@ def features(text):
         for n in (1, 2, 3):
             if len(c) >= n:
                 h = h[: len(c) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :] + np.uint64(n)
-                total += np.bincount(((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(50)).astype(np.int64), minlength=BUCKETS)
+                new = h[3 - n :] if at else h  # what ends before the piece was counted with the piece before
+                total += np.bincount(((new * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(50)).astype(np.int64), minlength=BUCKETS)
     return total / total.sum()
 
 
@@ -125,9 +128,9 @@ def predict(docs, model, carry=()):
 
     def run(batches):
         m = shared.value
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for t in pdf.text:
+            for t in batch.column("text").to_pylist():
                 f = features(t) if m else None
                 if f is None:
                     out.append(("und", 0.0, True))
@@ -138,11 +141,12 @@ def predict(docs, model, carry=()):
                 p = np.exp(z - z.max())
                 p /= p.sum()
                 out.append((classes[int(p.argmax())], float(p.max()), bool(f[floor["seen"]].sum() < floor["share"] or p.max() < floor["score"])))
-            yield pdf[names].assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], rejected=[x[2] for x in out])
+            found = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], [*names, "lang_pred", "score", "rejected"])
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema if f.name != "doc_id")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names[1:]).schema)
     kind = "doc_id long, " + (kind and kind + ", ") + "lang_pred string, score double, rejected boolean"
-    return docs.select("doc_id", "text", *carry).mapInPandas(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(run, kind)
 
 
 def _held(parts):

@@ -1,12 +1,14 @@
 """SimHash near-dedup with exact recall: pigeonhole buckets and bit-sliced comparison.
 
 Null and empty texts have fingerprint zero and link like any other; equal fingerprints collapse before any comparison;
-null doc_ids keep their row with a null component; repeated rows share a component; an empty table gives no rows.
+a null doc_id keeps its row and has the least doc_id of its component, null if there is none; repeated rows share a
+component; an empty table gives no rows; extra columns are ignored; texts of any length are read whole.
 """
 import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -33,10 +35,11 @@ def fingerprint(text, n=4):
 
 def fingerprints(docs, n=4):
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": [fingerprint(t, n) for t in pdf.text]})
+        for batch in batches:
+            fp = pa.array([fingerprint(t, n) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def near(x, y, radius=RADIUS):
@@ -82,8 +85,11 @@ def _above(c0, c1, c2, radius):
     return out
 
 
-def _keys(radius=RADIUS, blocks=6):
-    """Bit masks of which one at least is equal in any two fingerprints within the radius."""
+def _keys(radius=RADIUS, blocks=7):
+    """Bit masks of which one at least is equal in any two fingerprints within the radius.
+
+    Of seven blocks three stay equal, some 27 bits: few fingerprints meet by chance, also where there are many.
+    """
     edge = [round(64 * i / blocks) for i in range(blocks + 1)]
     mask = [sum(1 << b for b in range(edge[i], edge[i + 1])) for i in range(blocks)]
     return [sum(mask[i] for i in c) for c in itertools.combinations(range(blocks), blocks - radius)]
@@ -126,7 +132,9 @@ def links(fps, radius=RADIUS):
             out = [e for s, t in zip(new.tolist(), ends.tolist()) if t - s > 1 for e in compare(whole.iloc[s:t])]
             yield pd.DataFrame(np.array(out, np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return dealt.repartition("k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi").mapInPandas(run, "a long, b long")
+    # the rows are short and the comparisons many, so the number of tasks is set and not left to their bytes
+    tasks = 4 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs, n=4, radius=RADIUS):
