@@ -177,4 +177,16 @@ def query(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-SQL = None
+SQL = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(0, len(w) - 49)) as i from d),
+k as (select doc_id, i, array_to_string(w[i + 1:i + 50], ' ') as s from p),
+f as (select s, min(doc_id) as m from k group by s having count(distinct doc_id) > 1),
+g as (select doc_id, i from k join f using (s) where doc_id > m),
+gone as (select distinct doc_id, i + j as pos from g, range(50) t(j)),
+l as (select doc_id, list(pos) as places from gone group by doc_id),
+words as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from d),
+kept as (select words.doc_id, string_agg(word, ' ' order by words.pos) as t from words anti join gone on words.doc_id = gone.doc_id and words.pos = gone.pos group by words.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(places), 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join l using (doc_id) left join kept using (doc_id)
+"""

@@ -303,4 +303,20 @@ def query(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-SQL = None
+SQL = """
+with d as (select doc_id, hex(coalesce(text, '')) as h from documents),
+p as (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as i from d),
+w as (select doc_id, i, substr(h, 2 * i + 1, 200) as s from p),
+f as (select s, min({'d': doc_id, 'i': i}) as m from w group by s having count(*) > 1),
+g as (select doc_id, i from w join f using (s) where {'d': doc_id, 'i': i} > m),
+r as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as k from (
+ select *, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as fresh from g) t),
+runs as (select doc_id, min(i) as b, max(i) + 100 as e from r group by doc_id, k),
+gaps as (select doc_id, coalesce(lag(e) over (partition by doc_id order by b), 0) as lo, b as hi from runs
+ union all select doc_id, max(e), 1000000000 from runs group by doc_id),
+kept as (select doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' order by lo) as h from gaps join d using (doc_id) group by doc_id),
+n as (select doc_id, sum(e - b) as removed, count(*) as spans from runs group by doc_id)
+select d.doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+ sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""

@@ -126,26 +126,76 @@ def test_embeddings(spark, monkeypatch):
 def test_warc(spark):
     rows = [(1, "u1", "<é>"), (2, "u2", None), (3, None, ""), (4, "u4", "<é>"), (0, "u0", "x" * 9000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    archives = warc.write(pages)
-    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(archives).collect()}
+    index = warc.write(pages)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(index).collect()}
     digest = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
     assert got == {1: (4, digest("<é>"), "response", None), 2: (0, digest(""), "response", None), 3: (0, digest(""), "revisit", 2), 4: (4, digest("<é>"), "revisit", 1), 0: (9000, digest("x" * 9000), "response", None)}
-    some = warc.index(archives).where("page_id in (0, 4)")
-    assert {(r.page_id, bytes(r.payload), r.url) for r in warc.read(archives, some).collect()} == {(0, b"x" * 9000, "u0"), (4, b"", "u4")}
+    some = index.where("page_id in (0, 4)")
+    assert {(r.page_id, bytes(r.payload), r.url) for r in warc.read(some).collect()} == {(0, b"x" * 9000, "u0"), (4, b"", "u4")}
+    for r in index.collect():
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            record = f.read(r.length)
+        assert record.startswith(b"WARC/1.1\r\n") and r.digest.encode() in record
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
-def test_chat(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None), (2, None, None, "z"), (None, 0, "user", "q"), (4, 0, "user", "s"), (5, 0, "user", "s")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.pair_id, r.turn, r.side, r.role, r.copies, r.trained) for r in chat.format_preferences(df).collect()}
-    assert got == {(0, 0, "prompt", "user", 1, False), (0, 1, "chosen", "assistant", 1, True), (0, 1, "rejected", "assistant", 1, True), (0, 2, "rejected", "user", 1, False),
-                   (1, -1, "chosen", "unknown", 1, False), (None, 0, "unpaired", "user", 1, False), (2, 0, "prompt", "user", 1, False)}
+def test_warc_odd_rows(spark, monkeypatch):
+    big = 2**53 + 1
+    rows = [(None, "a\r\nb%0D", "x", "1"), (big, None, "x", "2"), (big + 1, "u", "x", "3"), (None, "n", None, "4"), (big, "again", "x", "5"), (7, "long", "é" * 3_000_000, "6")]
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 200)
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, digest string").coalesce(1))
+    assert index.select("archive").distinct().count() > 1
+    got = sorted(((r.page_id or 0, r.url or "", r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(index).collect()), key=repr)
+    assert got == sorted([(0, "a\r\nb%0D", "response", None, 1), (big, "", "response", None, 1), (big, "again", "response", None, 1), (big + 1, "u", "revisit", big, 1), (0, "n", "response", None, 0), (7, "long", "response", None, 6_000_000)], key=repr)
+
+
+def test_ranges():
+    r = np.random.default_rng(3)
+    rows = sorted((int(a), int(n)) for a, n in zip(r.integers(0, 30 << 20, 400), r.integers(1, 100_000, 400)))
+    runs = warc.ranges(rows)
+    assert [x for run in runs for x in run[2]] == rows
+    assert all(b <= a and a + n <= e and (e - b <= warc.READ_BYTES or len(inside) == 1) for b, e, inside in runs for a, n in inside)
+
+
+def test_chat(spark, monkeypatch):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "bad"), (1, 2, "user", None), (2, None, None, "z"), (None, 0, "user", "q"), (4, 0, "user", "s"), (5, 0, "user", "s")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, block int")
+    say = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+
+    def cut(text, spans):
+        return spans and [text[s.begin : s.end] for s in spans]
+
+    got = {(r.pair_id, r.kind, r.prompt, r.chosen, r.rejected) for r in chat.format_preferences(df).collect()}
+    assert got == {(0, "pair", say("user", "q"), say("assistant", "good"), say("assistant", "bad") + say("user", "")), (1, "half", "", say("unknown", "z"), ""),
+                   (None, "unpaired", say("user", "q"), None, None), (2, "pair", say("user", "s"), "", "")}
+    row = chat.format_preferences(df).where("pair_id = 0").first()
+    assert cut(row.chosen, row.chosen_spans) == ["good<|end|>\n"] and cut(row.rejected, row.rejected_spans) == ["bad<|end|>\n"]
+    assert chat.format_preferences(df.limit(0)).count() == 0
+    big = 2**53
+    long = [(big + s, t, "assistant" if t % 2 else "user", f"{t}" if t < 700 else f"{s}-{t}-{k}") for s in (0, 1) for t in range(800) for k in range(1 if t < 799 else 30)]
+    monkeypatch.setattr(chat, "PART", 20)
+    parts = chat.format_preferences(spark.createDataFrame(long, "conv_id long, turn int, role string, text string")).orderBy("block", "part").collect()
+    assert len(parts) > 4 and {r.pair_id for r in parts} == {big // 2}
+    assert sum(r.prompt.count("<|end|>") for r in parts) == 700
+    assert sum(r.chosen.count("<|end|>") for r in parts) == sum(r.rejected.count("<|end|>") for r in parts) == 99 + 30
+
+
+def assert_clashing_columns_stay(spark):
+    big = 2**53 + 1
+    rows = [(None, "b", "s", 5, "x"), (None, "a", "s", 6, "y"), (None, None, None, 7, "z"), (big, "c", "s", 8, "w"), (big, "c", "s", 9, "w")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, slot int, __end string"), block_docs=1)
+    assert got.columns == ["doc_id", "text", "source", "slot", "__end", "block", "mix_slot", "in_mix"]
+    out = got.collect()
+    assert sorted(r.slot for r in out) == [5, 6, 7, 8, 9] and {r["__end"] for r in out} == set("xyzw")
+    assert sorted(r.block for r in out if r.source == "s") == [0, 1, 2, 3] and {r.block for r in out if r.doc_id == big} == {2, 3}
+    assert len({r.mix_slot for r in out}) == 5
 
 
 def test_mixing(spark):
     rows = [(i, f"t{i}", "abc"[min(2, i % 5)] if i % 17 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert_clashing_columns_stay(spark)
     weights = spark.createDataFrame([("a", 5), ("b", 3), ("c", 7), ("", 1)], "source string, w int")
     out = mixing.mix(df, weights, 2).collect()
     assert len(out) == 600
