@@ -214,7 +214,8 @@ def add_up(df, fn, size, blocks=32, groups=16):
             yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "g": pa.array([0], pa.int32()), "m": pa.array([m.tobytes()], pa.binary())})
 
     kind = "k int, g int, m binary"
-    got = df.mapInArrow(run, kind).repartition("k", "g").mapInArrow(fold, kind).repartition("k").mapInArrow(fold, kind).toArrow()
+    with small_batches(df.sparkSession):
+        got = df.mapInArrow(run, kind).repartition("k", "g").mapInArrow(fold, kind).repartition("k").mapInArrow(fold, kind).toArrow()
     out = {k: np.frombuffer(m.as_buffer(), np.float64) for k, m in zip(got["k"].to_pylist(), got["m"])}
     return np.concatenate([out[k] for k in range(blocks)]) if out else np.zeros(size)
 
