@@ -231,15 +231,25 @@ def settle_anchors(asked):
             yield s, part.tobytes()
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<begin:long,end:long>>, carried string"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, spans array<struct<begin:long,end:long>>, carried string"
 
 
-def dedup(docs, carry=()):
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, spans) for every row of docs(doc_id, text).
+def whole_characters(b, gone):
+    """Text of the UTF-8 bytes b without every character that lost a byte."""
+    of = np.cumsum((b & 0xC0) != 0x80) - 1
+    lost = np.zeros(of[-1] + 1 if len(of) else 0, bool)
+    lost[of[gone]] = True
+    return b[~lost[of]].tobytes().decode()
 
-    With carry, each row also brings the struct of these expressions of its own row as carried.
+
+def dedup(docs, carry=None):
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, kept_text, spans) for every row of docs(doc_id, text).
+
+    kept_text is the kept text without characters that were cut apart, given only with carry: each row then also brings
+    the struct of these expressions of its own row as carried.
     """
     more = F.struct(*map(F.expr, carry)) if carry else None
+    texts = more is not None
     shards = Shards(docs, _make, "blob binary, dup binary, begin binary, many binary, place binary", SHARD_BYTES, None if more is None else F.to_json(more))
     spread = max(1, -(-shards.bytes // BUCKET_BYTES))
 
@@ -285,17 +295,17 @@ def dedup(docs, carry=()):
                     g = gone[at : at + n]
                     edges = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8))).reshape(-1, 2).tolist()
                     kept = s.blob[at : at + n][~g].tobytes() if edges else s.blob[at : at + n].tobytes()
-                    out.append({"doc_id": i, "n_bytes": n, "n_removed": int(g.sum()), "n_spans": len(edges), "kept": kept, "spans": [{"begin": x, "end": y} for x, y in edges], "carried": c})
+                    out.append({"doc_id": i, "n_bytes": n, "n_removed": int(g.sum()), "n_spans": len(edges), "kept": kept, "kept_text": None if not texts else whole_characters(s.blob[at : at + n], g) if edges else kept.decode(), "spans": [{"begin": x, "end": y} for x, y in edges], "carried": c})
                     at += n
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("carried", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("carried", pa.string())])
     rows = shards.rows
     for name, answers in (("anchors", anchors), ("runs", runs), ("windows", windows)):
         rows = shards.with_answers(rows, answers, name)
     out = rows.mapInArrow(cut, KEPT)
     if more is None:
-        return out.drop("carried")
+        return out.drop("carried", "kept_text")
     return out.withColumn("carried", F.from_json("carried", docs.select(more.alias("c")).schema[0].dataType))
 
 

@@ -65,6 +65,15 @@ def test_repeated_ids_keep_their_texts(spark):
     assert three in got["s2"].text and got["s2"].n_chars == len(got["s2"].text)
 
 
+def test_whole_characters_and_own_marks(spark):
+    lone = "keep\ufffdme \u00e9"
+    shared = "x" * 99 + "\u00e9" * 40
+    rows = [(1, shared + " one"), (2, "\u00ea" + shared[5:] + "\ufffd two"), (2**53 + 1, lone), (None, "")]
+    got = {x.source: x for x in corpus_pipeline.suffix_dedup(spark, frame(spark, rows), None).collect()}
+    assert got["s0"].text == rows[0][1] and got["s2"].text == lone and got["s2"].doc_id == 2**53 + 1 and got["s3"].text == ""
+    assert got["s1"].text == "\u00ea\ufffd two" and got["s1"].n_chars == len(got["s1"].text)
+
+
 def test_null_ids_through_run(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*corpus_pipeline.COLUMNS)
     text = docs.where("doc_id is not null and lang = 'en' and length(text) > 400").orderBy("doc_id").first().text
