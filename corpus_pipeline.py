@@ -1,6 +1,8 @@
 """Documents to a training mix in five stages; each stage reads what its predecessor wrote.
 
-Null ids stay through every filter; of the rows of one near-copy group one stays, also where they repeat a doc_id.
+Each stage judges rows and not ids: null ids stay through every filter, and of the rows of one near-copy group one stays,
+also where they repeat a doc_id. Null and empty texts are rejected by the first stage, since no language shows; an empty
+table gives no rows; columns beyond those of documents are left out at the start, so none can clash.
 """
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def suffix_dedup(spark, docs, sf_dir):
-    """Repeated 100-byte strings go from the texts; characters cut apart go with them."""
+    """Repeated 100-byte strings go from the texts; characters that lose a byte go whole. Each row keeps its own columns."""
     d = suffix.dedup(docs, carry=("text is null as bare", "lang", "source", "n_chars")).select("*", "carried.*")
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), "�", "")).when(~F.col("bare"), F.col("kept").cast("string"))
-    return d.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    d = d.withColumn("text", F.when(~F.col("bare"), F.col("kept_text")))
+    return d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontaminate(spark, docs, sf_dir):
