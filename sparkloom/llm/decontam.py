@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Document passages are TF-IDF rows over hashed terms (a term counts once in a chunk); a distributed randomised SVD over all documents gives latent axes.
+Document passages are TF-IDF rows over hashed terms (a term counts once in a chunk); a distributed randomised SVD over all documents gives latent axes, in
+which passages are folded with common directions damped by the singular values.
 Benchmark passages and document windows meet in these axes: pairs of a cosine of at least NEAR are candidates. A candidate
 is kept if the words that both hold leave it possible, and then if the longest common subsequence of the benchmark passage
 and the window with its neighbourhood covers SHARE of the passage, or SHARE_WITH_ANSWER where the item's last words, its
@@ -23,7 +24,7 @@ WINDOW = 48
 ITEM_STRIDE = 16
 TERM_BITS = 15
 RANK = 48
-NEAR = 0.2
+NEAR = 0.4
 SHARE = 0.6
 SHARE_WITH_ANSWER = 0.45
 ANSWER_WORDS = 5
@@ -53,7 +54,7 @@ class Words:
     def once(self, chunk):
         """Places of the words whose term is not there earlier in the chunk: a term counts once, or junk would drown a passage."""
         key = chunk << TERM_BITS | self.term
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         keep = np.ones(len(key), bool)
         keep[by[1:]] = key[by[1:]] != key[by[:-1]]
         return np.flatnonzero(keep)
@@ -74,7 +75,7 @@ def _groups(batches):
 
 
 def fit(docs, rank=RANK, seed=5):
-    """Latent axes weighted by inverse document frequency: one pass for frequencies, one for the sketch.
+    """Latent axes weighted by inverse document frequency, and these weights: one pass for frequencies, one for the sketch.
 
     A passage here is a chunk of 24 words with the chunk after it. The driver gets arrays of fixed size.
     """
@@ -92,8 +93,8 @@ def fit(docs, rank=RANK, seed=5):
         return out
 
     f = add_up(texts, frequencies, size + 1)
-    idf = np.log((1 + f[size]) / (1 + f[:size]))
-    omega = (np.random.default_rng(seed).normal(size=(size, rank)) * idf[:, None]).astype(np.float32)
+    idf = np.log((1 + f[size]) / (0.5 + f[:size]))  # above zero also for a term that all passages hold
+    omega = padded((np.random.default_rng(seed).normal(size=(size, rank)) * idf[:, None]).astype(np.float32))
     shared = docs.sparkSession.sparkContext.broadcast(omega)
 
     def sketch(batches):
@@ -102,7 +103,7 @@ def fit(docs, rank=RANK, seed=5):
             chunk, first, joined = w.chunks(SHORT)
             at = w.once(chunk)
             chunk, terms = chunk[at], w.term[at]
-            y = np.add.reduceat(shared.value[terms], runs_of(chunk), axis=0)
+            y = chunk_sums(shared.value, terms, chunk, len(first), SHORT)
             y[:-1] += y[1:] * joined[:-1, None]
             z = y.copy()
             z[1:] += y[:-1] * joined[:-1, None]
@@ -110,11 +111,36 @@ def fit(docs, rank=RANK, seed=5):
             order = np.argsort(terms.astype(np.uint16), kind="stable")
             term = terms[order]
             start = runs_of(term)
-            out[term[start]] += np.add.reduceat(z[chunk[order]], start, axis=0)
+            inside = np.arange(len(term)) - np.repeat(start, np.diff(np.r_[start, len(term)]))
+            block = np.cumsum(inside % 8 == 0) - 1
+            z = chunk_sums(padded(z), chunk[order], block, block[-1] + 1, 8)
+            out[term[start]] += np.add.reduceat(z, block[start], axis=0)
         return out.ravel()
 
-    q, _ = np.linalg.qr(add_up(texts, sketch, size * rank).reshape(size, rank) * idf[:, None])
-    return (q * idf[:, None]).astype(np.float32)
+    # one-pass eigenvectors of the term products G = A'A from Y = G omega (Nystroem); passages fold in as A U / sigma
+    omega = np.random.default_rng(seed).normal(size=(size, rank))
+    y = add_up(texts, sketch, size * rank).reshape(size, rank) * idf[:, None]
+    w, v = np.linalg.eigh((omega.T @ y + y.T @ omega) / 2)
+    u, sigma, _ = np.linalg.svd(y @ (v / np.sqrt(np.maximum(w, 1e-9 * max(w.max(), 1e-9)))), full_matrices=False)
+    fold = 1 / np.sqrt(sigma + sigma.mean() + 1e-9)  # half a whitening, damped, so that no lone difference is blown up
+    return (u * fold * idf[:, None]).astype(np.float32), idf
+
+
+def padded(axes):
+    """The axes and a row of zeros for the places that a short chunk leaves."""
+    return np.concatenate([axes, np.zeros((1, axes.shape[1]), np.float32)])
+
+
+def chunk_sums(axes, term, chunk, n, width):
+    """Sums of the axes' rows of the terms of each of n chunks; a chunk has at most width terms, and chunk is sorted."""
+    first = np.searchsorted(chunk, np.arange(n))
+    at = np.full((n, width), len(axes) - 1, np.int32)
+    at[chunk, np.arange(len(chunk)) - first[chunk]] = term
+    out = np.zeros((n, axes.shape[1]), np.float32)
+    for lo in range(0, n, 1024):
+        for column in at[lo : lo + 1024].T:
+            out[lo : lo + 1024] += np.take(axes, column, axis=0)
+    return out
 
 
 def lcs(a, b):
@@ -135,26 +161,53 @@ def unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+class Vocabulary:
+    """Numbers of the words of the benchmark; any other word has the number after the last."""
+
+    def __init__(self, hashes):
+        self.hashes = np.unique(hashes)
+        self.slots, left = [], np.arange(len(self.hashes))
+        while len(left):  # words that share a slot go on to a further table
+            slot = np.full(1 << 18, len(self.hashes), np.int32)
+            slot[self.hashes[left] >> np.uint64(46)] = left
+            self.slots.append(slot)
+            left = left[slot[self.hashes[left] >> np.uint64(46)] != left]
+
+    def __call__(self, h):
+        at, known = (h >> np.uint64(46)).astype(np.int64), np.r_[self.hashes, np.uint64(0)]
+        out = np.full(len(h), len(self.hashes), np.int32)
+        for slot in self.slots:
+            place = slot[at]
+            hit = known[place] == h
+            out[hit] = place[hit]
+        return out
+
+
 class Passages:
-    """Benchmark passages of one kind: items, word numbers in a vocabulary of their own, answers, unit latent vectors."""
+    """Benchmark passages of one kind: items, words by number, answers, unit latent vectors."""
 
-    def __init__(self, rows, axes, short):
+    def __init__(self, rows, vocab, axes, idf, short):
         self.window, self.stride = (SHORT, CHUNK) if short else (WINDOW, SHORT)
         self.items = [r[0] for r in rows]
         self.length = np.array([len(r[1]) for r in rows])
-        self.vocab = np.unique(np.concatenate([np.concatenate(r[1:]) for r in rows]))
-        place = lambda h: np.searchsorted(self.vocab, h)
-        self.words = np.full((len(rows), self.length.max()), len(self.vocab))
-        self.answers = [place(r[2]) for r in rows]
+        self.answers = [vocab(r[2]) for r in rows]
+        self.words = np.full((len(rows), self.length.max()), len(vocab.hashes))
         for row, (_, h, _) in zip(self.words, rows):
-            row[: len(h)] = place(h)
-        self.parts = [place(r[1]).tolist() for r in rows]
-        # an answer of fewer words repeats; the place after the vocabulary is always there
-        self.last = np.stack([np.resize(a, ANSWER_WORDS) for a in self.answers])
+            row[: len(h)] = vocab(h)
+        self.parts = [row[:n].tolist() for row, n in zip(self.words, self.length)]
+        self.last = np.stack([np.resize(a, ANSWER_WORDS) for a in self.answers])  # an answer of fewer words repeats
+        # a window that holds enough of a passage's words holds one of its rarest: postings of these
+        rare = []
+        for k, (_, h, _) in enumerate(rows):
+            by = np.argsort(-idf[(h >> np.uint64(64 - TERM_BITS)).astype(np.int64)], kind="stable")
+            rare.append(np.stack([(mine := np.unique(vocab(h[by[: len(h) - int(np.ceil(SHARE_WITH_ANSWER * len(h) - 1e-9)) + 1]]))), np.full(len(mine), k)], 1))
+        rare = np.concatenate(rare)
+        rare = rare[np.argsort(rare[:, 0], kind="stable")]
+        self.holders, self.bounds = rare[:, 1], np.searchsorted(rare[:, 0], np.arange(len(vocab.hashes) + 2))
         self.vectors = unit(np.stack([axes[np.unique((r[1] >> np.uint64(64 - TERM_BITS)).astype(np.int64))].sum(0) for r in rows]))
 
 
-def _passages(block, axes):
+def _passages(block, axes, idf):
     rows = []
     for item, text in block:
         b = np.frombuffer((text or "").encode(), np.uint8)
@@ -162,61 +215,81 @@ def _passages(block, axes):
         for at in range(0, max(1, len(h) - WINDOW + ITEM_STRIDE), ITEM_STRIDE) if len(h) else []:
             at = max(0, min(at, len(h) - WINDOW))
             rows.append((item, h[at : at + WINDOW], h[-ANSWER_WORDS:]))
+    vocab = Vocabulary(np.concatenate([np.concatenate(r[1:]) for r in rows])) if rows else None
     kinds = [[r for r in rows if (len(r[1]) <= SHORT) == short] for short in (True, False)]
-    return [Passages(r, axes, short) for r, short in zip(kinds, (True, False)) if r]
+    return vocab, [Passages(r, vocab, axes, idf, short) for r, short in zip(kinds, (True, False)) if r]
 
 
 def _windows(w, axes):
     """First word, document and latent sums of all chunks."""
     chunk, first, joined = w.chunks(CHUNK)
     at = w.once(chunk)
-    return first, w.doc[first], np.add.reduceat(axes[w.term[at]], runs_of(chunk[at]), axis=0), joined
+    return first, w.doc[first], chunk_sums(axes, w.term[at], chunk[at], len(first), CHUNK), joined
 
 
-def search(w, kinds, axes, near):
+def search(w, vocab, kinds, axes, near):
     """(document, item, cosine, share, answer) of all verified pairs of a group, window by window."""
     first, doc, part, joined = _windows(w, axes)
     ends = np.cumsum(w.size)
     begins = ends - w.size
+    place = vocab(w.hash)
     for p in kinds:
-        x, on = part.copy(), np.ones(len(part), bool)
-        for k in range(1, p.window // CHUNK):
-            on = on[: len(part) - k] & joined[k - 1 : len(part) - 1] if k > 1 else joined[: len(part) - 1]
-            x[: len(part) - k] += part[k:] * on[:, None]
         use = np.flatnonzero((first - begins[doc]) % p.stride == 0)
-        x = unit(x[use])
-        place = np.minimum(np.searchsorted(p.vocab, w.hash), len(p.vocab) - 1)
-        place[p.vocab[place] != w.hash] = -1
+        x, on = part[use], np.ones(len(use), bool)
+        for k in range(1, p.window // CHUNK):
+            on &= joined[np.minimum(use + k - 1, len(part) - 1)]  # the last chunk of a text is not joined to a further one
+            x += part[np.minimum(use + k, len(part) - 1)] * on[:, None]
+        x = unit(x)
         step = max(64, (1 << 22) // len(p.items))
         for at in range(0, len(use), step):
             cos = x[at : at + step] @ p.vectors.T
-            i, j = np.nonzero(cos >= near)
-            for lo in range(0, len(i), 1 << 16):
-                a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-                yield from _verify(w, p, first[use[at + a]], b, cos[a, b], place, begins, ends)
-
-
-def _verify(w, p, start, part, cos, place, begins, ends):
+            i, j = np.divmod(np.flatnonzero((cos >= near) & _rare(p, use[at : at + step], first, place)), len(p.items))
+            if len(i):
+                yield from _verify(p, len(vocab.hashes), first[use[at + i]], doc[use[at + i]], j, cos[i, j], place, begins, ends)
+
+
+def _rare(p, use, first, place):
+    """Whether the neighbourhood of each window (by its first chunk) holds one of the rarest words of each passage."""
+    reach = p.stride // CHUNK
+    lo, hi = max(0, use[0] - reach), min(len(first), use[-1] + p.window // CHUNK + reach)
+    begin, end = first[lo], first[hi] if hi < len(first) else len(place)
+    word = place[begin:end]
+    n = p.bounds[word + 1] - p.bounds[word]
+    at = np.flatnonzero(n)
+    n, word = n[at], word[at]
+    chunk = np.searchsorted(first[lo:hi], at + begin, "right") - 1
+    has = np.zeros((hi - lo + p.window // CHUNK + 2 * reach, len(p.items)), bool)
+    has[np.repeat(chunk + reach, n), p.holders[np.arange(n.sum()) + np.repeat(p.bounds[word] - np.cumsum(n) + n, n)]] = True
+    out = has[use - lo]
+    for k in range(1, p.window // CHUNK + 2 * reach):
+        out |= has[use - lo + k]
+    return out
+
+
+def _verify(p, size, start, doc, part, cos, place, begins, ends):
     """Of candidates (first word of the window, passage), those whose words, and then whose order, cover enough."""
-    doc = w.doc[start]
     lo, hi = np.maximum(start - p.stride, begins[doc]), np.minimum(start + p.window + p.stride, ends[doc])
     window = np.cumsum(np.r_[True, start[1:] != start[:-1]]) - 1
-    for cut in np.split(np.arange(len(start)), np.flatnonzero(np.diff(window // 512)) + 1):
-        at = window[cut] - window[cut[0]]
-        head = cut[np.r_[True, at[1:] != at[:-1]]]
+    edge = np.searchsorted(window, np.arange(0, window[-1] + 257, 256))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        at = window[a:b] - window[a]
+        head = a + np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         n = hi[head] - lo[head]
-        have = np.zeros((len(head), len(p.vocab) + 1), bool)
-        words = place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[head], n)]
-        have[np.repeat(np.arange(len(head)), n), words] = True
+        have = np.zeros((len(head), size + 1), bool)
+        have[np.repeat(np.arange(len(head)), n), place[np.arange(n.sum()) + np.repeat(lo[head] - np.cumsum(n) + n, n)]] = True
         have[:, -1] = False  # words of no passage
-        mine = part[cut]
-        most = have[at[:, None], p.words[mine]].sum(1) / p.length[mine]
-        answers = have[at[:, None], p.last[mine]].all(1)
-        for k in np.flatnonzero((most >= SHARE) | ((most >= SHARE_WITH_ANSWER) & answers)).tolist():
-            c, j = cut[k], int(mine[k])
+        mine, flat = part[a:b], have.ravel()
+        base = (at * (size + 1))[:, None]
+        most = np.count_nonzero(flat[base + p.words[mine]], axis=1) / p.length[mine]
+        open_ = np.flatnonzero(most >= SHARE_WITH_ANSWER)
+        answers = flat[base[open_] + p.last[mine[open_]]].all(1)
+        for k, has in zip(open_.tolist(), answers.tolist()):
+            if not has and most[k] < SHARE:
+                continue
+            c, j = a + k, int(mine[k])
             near = place[lo[c] : hi[c]]
             share = lcs(p.parts[j], near.tolist()) / p.length[j]
-            found = bool(answers[k]) and share >= SHARE_WITH_ANSWER and _contains(near, p.answers[j])
+            found = has and share >= SHARE_WITH_ANSWER and _contains(near, p.answers[j])
             if share >= SHARE or found:
                 yield int(doc[c]), p.items[j], float(cos[c]), float(share), found
 
@@ -229,23 +302,23 @@ def _contains(words, answer):
 RESULT = "doc_id long, item_id long, cosine double, share double, answer boolean"
 
 
-def matches(docs, benchmark, axes=None, near=NEAR):
+def matches(docs, benchmark, model=None, near=NEAR):
     """(doc_id, item_id, cosine, share, answer): best verified match of each document and item."""
     spark = docs.sparkSession
-    axes = fit(docs) if axes is None else axes
+    axes, idf = fit(docs) if model is None else model
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("share", pa.float64()), ("answer", pa.bool_())])
 
     def found(block):
-        kinds = _passages(block, axes)
+        vocab, kinds = _passages(block, axes, idf)
         if not kinds:
             return None
-        shared = spark.sparkContext.broadcast((axes, kinds))  # at most BLOCK passages and axes of fixed size
+        shared = spark.sparkContext.broadcast((padded(axes), vocab, kinds))  # at most BLOCK passages and axes of fixed size
 
         def run(batches):
-            axes, kinds = shared.value
+            axes, vocab, kinds = shared.value
             for lo, w, batch in _groups(batches):
                 best = {}
-                for doc, item, *rest in search(w, kinds, axes, near):
+                for doc, item, *rest in search(w, vocab, kinds, axes, near):
                     if rest[1] > best.get((doc, item), (0, 0))[1]:
                         best[doc, item] = rest
                 ids = batch.column("doc_id")
