@@ -13,6 +13,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 TASK_BYTES = 16 << 20
+MOST_DOCS = 1 << 14  # of a shard; a shard number and a place in the shard fit one long
 
 
 def table(spark, sf_dir, name):
@@ -78,7 +79,7 @@ def long_hash(x):
 def shard_numbers(part, buckets):
     """Endless shard numbers of a writing task, all in one bucket, so that a task writes one file."""
     for at in itertools.count(0, 4 * buckets):
-        x = (part << 40) + np.arange(at, at + 4 * buckets, dtype=np.int64)
+        x = (part << 28) + np.arange(at, at + 4 * buckets, dtype=np.int64)
         yield from x[long_hash(x) % buckets == part % buckets].tolist()
 
 
@@ -125,7 +126,7 @@ class Shards:
             rows, n = [], 0
             for batch in batches:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "flag", "carried"))):
-                    if rows and n + len(row[1]) > size:
+                    if rows and (n + len(row[1]) > size or len(rows) == MOST_DOCS):
                         yield flush(rows)
                         rows, n = [], 0
                     rows.append(row)

@@ -1,99 +1,125 @@
-"""Near copies by exact Jaccard similarity of word shingles: prefix filter, then confirmation on the texts.
+"""Near copies of a stage on word shingles: SimHash links confirmed by exact Jaccard similarity, completed by a prefix filter.
 
-Two texts are linked at a similarity of 4/5 or more. In one order of all shingles, rare ones first, linked texts share one
-of their first n - ceil(4n / 5) + 1 shingles; pairs that meet so are confirmed on the shingles themselves. The order comes
-from a sketch of counts of fixed size; another order changes the cost and no result. Pairs already joined are not compared.
+Two texts are linked at a similarity of 4/5 or more of their 5-word shingles. First the SimHash operator links fingerprints
+of 5-word shingles, and every such link is confirmed on the shingles themselves; this joins most of a group of copies by a
+linear number of pairs. Links beyond the radius of the fingerprints are found exactly: in one order of all shingles, rare
+ones first, linked texts share one of their first n - ceil(4n / 5) + 1 shingles, so texts that share such a shingle and are
+not joined yet are confirmed too. The order comes from a sketch of counts of fixed size; another order changes the cost and
+no result. Documents stay in their shards; only shared shingles, links and the texts of candidate pairs move.
 Null and empty texts have no shingles and link to one another; equal shingle sets collapse before any comparison; texts of
-fewer than N words are one shingle; an empty table gives no rows; rows are told apart by the column row.
+fewer than N words are one shingle; an empty table gives no rows. Shingles are known by a 64-bit hash.
 """
 import itertools
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Window
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from . import simhash
+from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, staged, word_spans
+from .substring import BASES, roll
 
 N = 5
 CELLS = 1 << 20
-BLOCKS = 32
 TILE = 512
+SHARD_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
 
 
-def shingles(text, n=N):
-    """Distinct n-word shingles of a text, ASCII lower-cased."""
-    w = (text or "").encode().lower().split()
-    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
-
-
-def similar(a, b):
-    """Whether two shingle sets have a Jaccard similarity of 4/5 or more."""
-    return 9 * len(a & b) >= 4 * (len(a) + len(b))
-
-
-def _hashes(text):
-    return np.sort(np.array([xxhash.xxh64_intdigest(s) for s in shingles(text)], np.uint64))
+def shingles(b, lens, n=N):
+    """(document, hash) of the distinct n-word shingles of the documents of these lengths, by document and hash."""
+    b = LOWER[b]
+    begin, end, doc = word_spans(b, lens)
+    h, size = Rolling(b)(begin, end), np.bincount(doc, minlength=len(lens))
+    first = np.cumsum(size) - size
+    docs, hashes = [], []
+    for k in range(1, n + 1):
+        if k == n:
+            at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
+        else:
+            at = first[size == k]  # a short text is one shingle
+        if len(at):
+            docs.append(doc[at])
+            hashes.append(mixed(roll(h, BASES[0], k)[at] + np.uint64(k)))
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    docs, hashes = np.concatenate(docs), np.concatenate(hashes)
+    by = np.lexsort((hashes, docs))
+    docs, hashes = docs[by], hashes[by]
+    new = np.r_[True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])]
+    return docs[new], hashes[new]
 
 
 def _cell(h):
     return (h >> np.uint64(44)).astype(np.int64)
 
 
-def frequencies(docs):
-    """Documents that hold a shingle, by cell of its hash; partial sums meet by block in a shuffle."""
-    def run(batches):
-        out = np.zeros(CELLS, np.int64)
-        for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                out += np.bincount(np.concatenate([_cell(_hashes(t)) for t in pdf.text.iloc[at : at + 2048]]), minlength=CELLS)
-        yield pd.DataFrame({"k": range(BLOCKS), "m": list(out.reshape(BLOCKS, -1))})
-
-    def fold(batches):
-        sums = {}
-        for pdf in batches:
-            for k, m in zip(pdf.k, pdf.m):
-                sums[k] = sums[k] + m if k in sums else m
-        if sums:
-            yield pd.DataFrame({"k": list(sums), "m": list(sums.values())})
-
-    kind = "k int, m array<long>"
-    got = docs.select("text").mapInPandas(run, kind).repartition("k").mapInPandas(fold, kind).toArrow()
-    out = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
-    for k, m in zip(got["k"].to_pylist(), got["m"]):
-        out[k] = m.values.to_numpy()
-    return out.ravel()
+class Shard:
+    """The prefixes of a staged shard's documents."""
 
+    def __init__(self, row, counts):
+        self.row, self.lens = row, row["lens"].to_numpy()
+        self.rows = (row["shard"] << 14) + np.arange(len(self.lens))
+        self.doc, self.hash = shingles(row["blob"], self.lens)
+        self.size = np.bincount(self.doc, minlength=len(self.lens))
+        first = np.cumsum(self.size) - self.size
+        by = np.lexsort((counts[_cell(self.hash)], self.doc))
+        at = np.arange(len(by)) - first[self.doc]
+        short = at < (self.size - (4 * self.size + 4) // 5 + 1)[self.doc]
+        self.key, self.of, self.pos = self.hash[by[short]], self.doc[short], at[short]
 
-def _prefixes(docs):
-    """(row, s, t, n, prefix) of docs(row, text): two hashes of the shingle set, its size and its rarest shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
+    def keys(self, spread):
+        """Distinct prefix shingles by bucket, the index of each prefix entry among them, and the bounds of the buckets."""
+        by = np.lexsort((self.key, route(self.key, spread)))
+        begin = runs_of(self.key[by])
+        place = np.empty(len(by), np.int64)
+        place[by] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(by)]))
+        keys = self.key[by][begin]
+        return keys, place, np.searchsorted(route(keys, spread), np.arange(spread + 1))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for t in pdf.text:
-                h = _hashes(t)
-                first = h[np.argsort(shared.value[_cell(h)], kind="stable")][: len(h) - (4 * len(h) + 4) // 5 + 1]
-                b = h.tobytes()
-                out.append((xxhash.xxh64_intdigest(b, 1), xxhash.xxh64_intdigest(b, 2), len(h), first.view(np.int64)))
-            s, t = np.array([x[:2] for x in out], np.uint64).reshape(-1, 2).T.copy().view(np.int64)
-            yield pd.DataFrame({"row": pdf.row, "s": s, "t": t, "n": [x[2] for x in out], "prefix": [x[3] for x in out]})
+    def sets(self):
+        """Two hashes of each document's shingle set."""
+        out = []
+        for base in (1, 2):
+            sums = np.zeros(len(self.lens), np.uint64)
+            np.add.at(sums, self.doc, mixed(self.hash ^ np.uint64(base * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+            out.append(mixed(sums + self.size.astype(np.uint64)).view(np.int64))
+        return out
 
-    return docs.select("row", "text").mapInPandas(run, "row long, s long, t long, n int, prefix array<long>")
 
+def _settle_shared(asked):
+    """Whether the shards together hold a prefix shingle in two documents or more."""
+    keys, more = [], []
+    for _, d in asked:
+        n = int(np.frombuffer(d, np.uint32, 1)[0])
+        keys.append(np.frombuffer(d, np.uint64, n, 4))
+        more.append(np.unpackbits(np.frombuffer(d, np.uint8, offset=4 + 8 * n))[:n])
+    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    shared = np.bincount(inverse, 1 + np.concatenate(more), len(every)) > 1
+    for (s, _), part in zip(asked, np.split(shared[inverse], np.cumsum([len(k) for k in keys])[:-1])):
+        if part.any():
+            yield s, np.packbits(part).tobytes()
 
-def _confirm(pairs, docs):
-    """The pairs(a, b) of rows whose texts are similar."""
-    one, two = (docs.select(F.col("row").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
-    def run(batches):
-        for pdf in batches:
-            ok = [similar(shingles(x), shingles(y)) for x, y in zip(pdf.text_a, pdf.text_b)]
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
-
-    return staged(pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long"))
+def _similar(batches):
+    """Pairs(a, b, text_a, text_b) with a similarity of 4/5 or more; two texts without words are alike."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            doc, h, size = [], [], []
+            for c in ("text_a", "text_b"):
+                data, begin, lens = raw(part.column(c))
+                d, x = shingles(data[begin[0] : begin[0] + lens.sum()], lens)
+                doc.append(d)
+                h.append(x)
+                size.append(np.bincount(d, minlength=len(lens)))
+            d, x = np.concatenate(doc), np.concatenate(h)
+            by = np.lexsort((x, d))
+            both = (d[by][1:] == d[by][:-1]) & (x[by][1:] == x[by][:-1])
+            common = np.bincount(d[by][1:][both], minlength=part.num_rows)
+            ok = pa.array(9 * common >= 4 * (size[0] + size[1]))
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(ok) for c in "ab"], ["a", "b"])
 
 
 def _meeting(batches):
@@ -125,25 +151,119 @@ def _meeting(batches):
         yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
 
 
-def near_groups(docs):
-    """(row, group) of docs(row, text): the least row of each set of rows joined by links."""
-    docs = docs.select("row", "text")
-    rows = staged(_prefixes(docs))
-    sets = staged(rows.groupBy("s", "t").agg(F.min("row").alias("row")))
-    keyed = rows.join(sets.select("row"), "row", "left_semi").select("row", "n", F.posexplode("prefix").alias("pos", "key"))
-    size = keyed.groupBy("key").agg(F.count("*").alias("tiles")).where("tiles > 1").select("key", F.ceil(F.col("tiles") / TILE).cast("int").alias("tiles"))
-    met = staged(keyed.join(size, "key").withColumn("i", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")))
-    # neighbours by size in each tile first: they join most of a large group by a linear number of pairs
-    by = Window.partitionBy("key", "i").orderBy("n", "row")
-    chain = met.select("row", "n", F.lag("row").over(by).alias("before"), F.lag("n").over(by).alias("m")).where("5 * m >= 4 * n")
-    links = _confirm(chain.select(F.least("row", "before").alias("a"), F.greatest("row", "before").alias("b")).distinct(), docs)
-    comp = components(links).withColumnRenamed("id", "row")
-    met = staged(met.join(comp, "row", "left").select("row", "n", "pos", "key", "tiles", "i", F.coalesce("component_id", "row").alias("c")))
-    mixed = met.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    dealt = met.join(mixed, "key").withColumn("p", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")))
-    dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
-    pairs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_meeting, "a long, b long")
-    comp = components(links.unionByName(_confirm(pairs.distinct(), docs))).withColumnRenamed("id", "row")
-    named = sets.select("row").join(comp, "row", "left").select("row", F.coalesce("component_id", "row").alias("group"))
-    lead = rows.select("row", "s", "t").join(named, "row").select("s", "t", "group")
-    return rows.select("row", "s", "t").join(lead, ["s", "t"]).select("row", "group")
+class Copies:
+    """Documents docs(doc_id, text, ..) in shards, and the groups of near copies among them."""
+
+    def __init__(self, docs, carried=None):
+        self.shards = Shards(docs, lambda blob, lens, ids, flags: {"blob": blob.tobytes()}, "blob binary", SHARD_BYTES, carried)
+        self.spread = max(1, -(-self.shards.bytes // BUCKET_BYTES))
+        self.rows = self.shards.rows.select("shard", "ids", "lens", "blob")
+
+    def texts(self, wanted=None):
+        """(doc_id, text): every row by its number, or only the wanted(row); the shards stay where they are."""
+        rows, some = self.rows, wanted is not None
+        if some:
+            asked = wanted.distinct().groupBy(F.shiftright("row", 14).alias("shard")).agg(F.collect_list("row").alias("got"))
+            rows = self.shards.with_answers(rows, asked, "wanted").where("wanted is not null")
+
+        def run(batches):
+            for batch in batches:
+                for row in plain_rows(batch):
+                    lens = row["lens"].to_numpy()
+                    at = np.r_[0, np.cumsum(lens)]
+                    which = np.arange(len(lens)) if not some else row["wanted"].to_numpy() - (row["shard"] << 14)
+                    text = [row["blob"][at[k] : at[k + 1]].tobytes() for k in which.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array((row["shard"] << 14) + which), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+
+        return rows.mapInArrow(run, "doc_id long, text string")
+
+    def confirmed(self, pairs):
+        """The pairs(a, b) of rows whose texts are similar."""
+        pairs = staged(pairs.distinct())
+        texts = staged(self.texts(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))))
+        one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").cast("binary").alias(f"text_{x}")) for x in "ab")
+        return staged(pairs.join(one, "a").join(two, "b").mapInArrow(_similar, "a long, b long"))
+
+    def groups(self):
+        """(row, group): the least row of each set of rows joined by links."""
+        shards, spread = self.shards, self.spread
+
+        def count(batches):
+            out = np.zeros(CELLS)
+            for batch in batches:
+                for row in plain_rows(batch):
+                    out += np.bincount(_cell(shingles(row["blob"], row["lens"].to_numpy())[1]), minlength=CELLS)
+            return out
+
+        shared = shards.spark.sparkContext.broadcast(add_up(self.rows, count, CELLS).astype(np.float32))  # CELLS numbers
+
+        def ask(row):
+            s = Shard(row, shared.value)
+            keys, place, edge = s.keys(spread)
+            twice = np.bincount(place, minlength=len(keys)) > 1
+            for b in np.flatnonzero(np.diff(edge)).tolist():
+                k = keys[edge[b] : edge[b + 1]]
+                yield b, np.uint32(len(k)).tobytes() + k.tobytes() + np.packbits(twice[edge[b] : edge[b + 1]]).tobytes()
+
+        both = shards.trip(self.rows, ask, _settle_shared, spread)
+
+        def held(batches):
+            """Prefix entries of shared shingles, and for each document one row without a key: its size and set hashes."""
+            for batch in batches:
+                for row in plain_rows(batch):
+                    s = Shard(row, shared.value)
+                    keys, place, edge = s.keys(spread)
+                    bits = np.zeros(len(keys), np.uint8)
+                    fill(bits, edge, row["both"], np.unpackbits)
+                    at = np.flatnonzero(bits[place])
+                    one, two = s.sets()
+                    none = len(s.rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.r_[s.rows, s.rows[s.of[at]]]), pa.array(np.r_[s.size, s.size[s.of[at]]].astype(np.int64)), pa.array([None] * none + s.pos[at].tolist(), pa.int64()),
+                         pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)])],
+                        ["row", "n", "pos", "key", "s", "t"])
+
+        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(held, "row long, n long, pos long, key long, s long, t long"))
+        rows = every.where("key is null").select("row", "s", "t", "n")
+        sets = staged(rows.groupBy("s", "t", "n").agg(F.min("row").alias("row")))
+        lead = sets.select("row")
+        # links of the SimHash operator between fingerprints, and of the rows of one fingerprint to their least one
+        prints = staged(simhash.fingerprints(self.texts(lead), N).withColumnRenamed("doc_id", "row"))
+        least = staged(prints.groupBy("fp").agg(F.min("row").alias("first")))
+        near = simhash.links(least.select("fp"))
+        a, b = (least.select(F.col("fp").alias(x), F.col("first").alias(f"row_{x}")) for x in "ab")
+        near = near.join(a, "a").join(b, "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+        same = prints.join(least, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+        links = self.confirmed(near.unionByName(same))
+        comp = components(links).withColumnRenamed("id", "row")
+        keyed = every.where("key is not null").select("row", "n", "pos", "key").join(lead, "row", "left_semi").join(comp, "row", "left").withColumn("c", F.coalesce("component_id", "row")).drop("component_id")
+        met = staged(keyed)
+        mixed_ = met.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi").select("key", "tiles")
+        dealt = met.join(mixed_, "key").withColumn("i", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
+        dealt = dealt.withColumn("p", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")))
+        dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
+        tasks = 4 * int(shards.spark.conf.get("spark.sql.shuffle.partitions"))
+        pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_meeting, "a long, b long")
+        comp = components(links.unionByName(self.confirmed(pairs))).withColumnRenamed("id", "row")
+        named = sets.join(comp, "row", "left").select("s", "t", "n", F.coalesce("component_id", "row").alias("group"))
+        return rows.join(named, ["s", "t", "n"]).select("row", "group")
+
+    def firsts(self):
+        """(doc_id, text, carried) of one row of each group: the smallest doc_id, null ids last, then the least row."""
+        groups = staged(self.groups())
+        # a shard's documents stand by doc_id, so the first of a group is known from its rows and their ids
+        ids = self.rows.select("shard", F.posexplode("ids").alias("at", "doc_id")).select((F.shiftleft("shard", 14) + F.col("at")).alias("row"), "doc_id")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        kept = ids.join(groups, "row").groupBy("group").agg(F.min(order).alias("o")).select("o.row")
+        asked = staged(kept.groupBy(F.shiftright("row", 14).alias("shard")).agg(F.collect_list("row").alias("got")))
+        rows = self.shards.with_answers(self.shards.rows.select("shard", "ids", "lens", "blob", "carried"), asked, "kept").where("kept is not null")
+
+        def run(batches):
+            for batch in batches:
+                for row in plain_rows(batch):
+                    at = np.r_[0, np.cumsum(row["lens"].to_numpy())]
+                    which = np.sort(row["kept"].to_numpy() - (row["shard"] << 14))
+                    text = pa.array([row["blob"][at[k] : at[k + 1]].tobytes() for k in which.tolist()], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([row["ids"].take(pa.array(which)), text, row["carried"].take(pa.array(which))], ["doc_id", "text", "carried"])
+
+        return rows.mapInArrow(run, "doc_id long, text string, carried string")

@@ -27,7 +27,8 @@ def test_near_groups(spark, monkeypatch):
             for k in r.sample(range(len(w)), edits):
                 w[k] = "zz"
             texts.append(" ".join(w + common))
-    sets = [jaccard.shingles(t) for t in texts]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
     want = list(range(len(texts)))
     for _ in texts:
         for i, a in enumerate(sets):
@@ -35,11 +36,21 @@ def test_near_groups(spark, monkeypatch):
                 if a == b or (a and b and len(a & b) / len(a | b) >= 0.8):
                     want[i] = min(want[i], want[j])
     assert 12 < len(set(want)) < len(texts) - 12
-    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    for tile in (jaccard.TILE, 3):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for tile, size in ((jaccard.TILE, jaccard.SHARD_BYTES), (3, 3000)):
         monkeypatch.setattr(jaccard, "TILE", tile)
-        assert {x.row: x.group for x in jaccard.near_groups(docs).collect()} == dict(enumerate(want))
-    assert jaccard.near_groups(docs.limit(0)).count() == 0
+        monkeypatch.setattr(jaccard, "SHARD_BYTES", size)
+        copies = jaccard.Copies(docs)
+        ids = {(r.shard << 14) + k: i for r in copies.rows.collect() for k, i in enumerate(r.ids)}
+        groups = {}
+        for x in copies.groups().collect():
+            groups.setdefault(x.group, set()).add(ids[x.row])
+        expected = {}
+        for i, g in enumerate(want):
+            expected.setdefault(g, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+        assert sorted(x.doc_id for x in copies.firsts().collect()) == sorted(set(want))
+    assert jaccard.Copies(docs.limit(0)).firsts().count() == 0
 
 
 def test_near_dedup_stage(spark):
