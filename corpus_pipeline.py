@@ -20,11 +20,10 @@ def language(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One row of each group of near copies (5-word Jaccard >= 0.8) stays: the smallest id, null ids last."""
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row")
-    kept = jaccard.near_groups(rows).join(rows.select("row", order.alias("o")), "row").groupBy("group").agg(F.min("o").alias("o"))
-    return rows.join(kept.select(F.col("o.row").alias("row")), "row", "left_semi").select(*COLUMNS)
+    """One row of each group of near copies (5-word Jaccard >= 0.8) stays: the smallest id, null ids last, then the first text."""
+    own = F.struct(F.col("text").isNull().alias("bare"), "lang", "source", "n_chars")
+    kept = jaccard.Copies(docs, F.to_json(own)).firsts().withColumn("own", F.from_json("carried", docs.select(own.alias("c")).schema[0].dataType))
+    return kept.select("doc_id", F.when(~F.col("own.bare"), F.col("text")).alias("text"), "own.lang", "own.source", "own.n_chars").select(*COLUMNS)
 
 
 def suffix_dedup(spark, docs, sf_dir):
