@@ -16,13 +16,17 @@ def add_tags(custom, tags):
     return F.array_union(custom, tags)
 
 
+def replace_tags(tags):
+    return F.array_distinct(tags)
+
+
 def delete_tags(custom, tags):
     return F.array_except(custom, tags)
 
 
-def may_delete(custom, tag):
-    """Only custom tags that are there can go."""
-    return F.array_contains(custom, tag)
+def may_delete(builtin, custom, tag):
+    """Only custom tags that are there can go; a built-in tag never."""
+    return ~F.array_contains(builtin, tag) & F.array_contains(custom, tag)
 
 
 def mapped_status(state):
@@ -43,6 +47,71 @@ def server_health(disks, max_used_ratio, min_usable):
     return disks.groupBy("node").agg((F.bool_and(F.col("used_ratio") <= max_used_ratio) & (F.count_if(usable) >= min_usable)).alias("healthy"))
 
 
+def health_reason(app_limit=None, allocated_limit=None):
+    """The first rule that a server(panicked, disks_ok, store_ok, n_apps, allocated, hangs) breaks, or null if it is healthy."""
+    wrong = F.when(F.col("panicked"), "panic").when(~F.col("disks_ok"), "disk").when(~F.col("store_ok"), "store")
+    if app_limit is not None:
+        wrong = wrong.when(F.col("n_apps") > app_limit, "apps")
+    if allocated_limit is not None:
+        wrong = wrong.when(F.col("allocated") > allocated_limit, "allocated")
+    return wrong.when(F.col("hangs"), "hang")
+
+
+def hangs(samples, node, ms, used, apps, least_apps=50, limit=300_000):
+    """Adds hangs: from a sample on whose memory use, not zero and with enough apps, has stood still for more than limit ms."""
+    w = Window.partitionBy(node).orderBy(ms)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    still = F.coalesce((F.col(used) == F.lag(used).over(w)) & (F.col(used) != 0) & (F.col(apps) >= least_apps), F.lit(False))
+    s = samples.withColumn("still", still).withColumn("since", F.last(F.when(~F.col("still"), F.col(ms)), True).over(so_far))
+    late = F.col("still") & (F.col(ms) - F.col("since") > limit)
+    return s.withColumn("hangs", F.bool_or(late).over(so_far)).drop("still", "since")
+
+
+def tickets(issued, now, timeout):
+    """(tickets that stay, (app_id, freed, n) of those older than timeout seconds) of issued(app_id, size, created)."""
+    old = F.lit(now) - F.col("created") > timeout
+    return issued.where(~old), issued.where(old).groupBy("app_id").agg(F.sum("size").alias("freed"), F.count("*").alias("n"))
+
+
+def retained(history, now_ms, days):
+    """Historical apps whose end lies no more than so many days back."""
+    return history.where(F.lit(now_ms) - F.col("end_timestamp") <= days * 86_400_000)
+
+
+def idle_apps(heartbeats, now, minutes):
+    """Apps whose last heartbeat is more than so many minutes old; now is seconds."""
+    return heartbeats.groupBy("app_id").agg(F.max("ts").alias("last_seen")).where(F.lit(now) - F.col("last_seen") > minutes * 60)
+
+
+def still_idle(idle, heartbeats):
+    """Of idle(app_id, last_seen) those without a heartbeat since: a purge asks again before it acts."""
+    newer = heartbeats.select("app_id", "ts").alias("h")
+    return idle.alias("i").join(newer, (F.col("i.app_id") == F.col("h.app_id")) & (F.col("h.ts") > F.col("i.last_seen")), "left_anti")
+
+
+def available(nodes, tags=()):
+    """Healthy, active nodes with free memory that have all tags."""
+    has = F.size(F.array_except(F.array(*map(F.lit, tags)) if tags else F.array().cast("array<string>"), "tags")) == 0
+    return nodes.where((F.col("is_healthy") & (F.col("status") == "Active") & (F.col("free_memory") > 0)) & has)
+
+
+def access(nodes, tags=()):
+    """One row: GRANTED if any available node has all tags, else ACCESS_DENIED."""
+    return available(nodes, tags).agg(F.when(F.count("*") > 0, "GRANTED").otherwise("ACCESS_DENIED").alias("access"))
+
+
+def cluster_counts(nodes):
+    """One row (nodes, available, up)."""
+    n = F.count_if(F.col("is_healthy") & (F.col("status") == "Active") & (F.col("free_memory") > 0))
+    return nodes.agg(F.count("*").alias("nodes"), n.alias("available"), (F.count("*") > 0).alias("up"))
+
+
+def known_changes(old, new):
+    """Every key of old with its value after a reload; keys that only new has are not taken up."""
+    n = new.withColumnRenamed("value", "after")
+    return old.join(n, ["id", "key"], "left").select("id", "key", F.coalesce("after", "value").alias("value"))
+
+
 def disk_check(timed_out, error, written, read):
     """abnormal, no_space, corrupted or normal, in this order of precedence."""
     return (F.when(timed_out, "abnormal").when(F.contains(error, F.lit("No space left on device")), "no_space")

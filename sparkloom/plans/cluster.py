@@ -53,7 +53,11 @@ QUERIES = {
                      "select user_id as app_id, min(event_id) as registered, max(event_id) as last_seen, max_by(event_type, event_id) as \"user\" from events group by 1 having 1000000000 - max(event_id) < 999999950"),
     "continuous_assignment": (lambda s, d: B.assign_continuous(s, 52, 2, ["s1", "s2", "s3", "s4", "s5"], 2, 20),
                               "select i * 2 as start_partition, i * 2 + 1 as end_partition, cast(r as int) as replica, 's' || cast((case when i < 22 then i // 2 else i - 11 end + r) % 5 + 1 as varchar) as server from range(26) a(i), range(2) b(r)"),
-    "budget_grants": (lambda s, d: S.budget_grants(_requests(s, d), 2000), None),
+    "budget_grants": (lambda s, d: S.budget_grants(_requests(s, d), 2000),
+                      """with recursive r as (select cast(user_id as varchar) as app_id, event_id as seq, cast(case when event_type = 'view' then -floor(value) else floor(value) end as bigint) as size, row_number() over (partition by user_id order by event_id) as k from events where value is not null),
+ f(app_id, seq, size, k, granted, used) as (select app_id, seq, size, k, 2000 >= size, greatest(0, case when 2000 >= size then size else 0 end) from r where k = 1
+ union all select r.app_id, r.seq, r.size, r.k, 2000 - f.used >= r.size, case when 2000 - f.used >= r.size then greatest(0, f.used + r.size) else f.used end from f join r on r.app_id = f.app_id and r.k = f.k + 1)
+ select app_id, seq, size, granted, cast(2000 - used as bigint) as remaining from f"""),
 }
 
 

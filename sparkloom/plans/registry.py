@@ -1,10 +1,12 @@
 """All registered queries with their SQL."""
-from . import cluster, corpus, shuffle
+from . import cluster, corpus, engine, forms, shuffle
+
+MODULES = (corpus, forms, shuffle, engine, cluster)
 
 
 def queries():
-    return corpus.queries() | shuffle.queries() | cluster.queries()
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql():
-    return corpus.oracle_sql() | shuffle.oracle_sql() | cluster.oracle_sql()
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}

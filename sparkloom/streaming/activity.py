@@ -44,3 +44,44 @@ def liveness(heartbeats, node, ts):
 def silent(live, now, seconds):
     """Nodes or apps whose last sign is more than so many seconds old."""
     return live.where(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("last_seen").cast("timestamp")) > seconds)
+
+
+def running_totals(blocks):
+    """(app_id, shuffle_id, partition_id, bytes, n): totals that a stream updates as blocks come in."""
+    return blocks.groupBy("app_id", "shuffle_id", "partition_id").agg(F.sum("length").alias("bytes"), F.count("*").alias("n"))
+
+
+def dispatch(events, tier, sinks, attempts=3):
+    """A writer that sends each batch of spill events to the sink of its tier, sinks[tier](rows).
+
+    A sink that fails is tried again, and after the last try the batch fails, so the stream reads it anew and loses none.
+    """
+    def send(batch, batch_id):
+        batch.persist()
+        try:
+            for name, sink in sinks.items():
+                rows = batch.where(F.col(tier) == name)
+                for left in reversed(range(attempts)):
+                    try:
+                        sink(rows)
+                        break
+                    except Exception:
+                        if not left:
+                            raise
+        finally:
+            batch.unpersist()
+
+    return events.writeStream.foreachBatch(send)
+
+
+def every(writer, interval):
+    """The writer with a processing-time trigger, as the watermark spill has it each 500 milliseconds."""
+    return writer.trigger(processingTime=interval)
+
+
+def registered(heartbeats):
+    """(id, start_time, last columns) of heartbeats(id, ts, start_time, ..): the newest of each node, whose start time is the
+    newest that was given at all."""
+    rest = [c for c in heartbeats.columns if c not in ("id", "start_time")]
+    last = [F.max_by(c, "ts").alias(c) for c in rest]
+    return heartbeats.groupBy("id").agg(F.max_by("start_time", F.when(F.col("start_time").isNotNull(), F.col("ts"))).alias("start_time"), *last)
