@@ -1,4 +1,7 @@
-"""Every query with SQL gives the SQL's rows."""
+"""Every query with SQL gives the SQL's rows, with columns of the same kind and exact integers."""
+import datetime
+import decimal
+
 import duckdb
 import pytest
 
@@ -7,8 +10,19 @@ from sparkloom.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-def norm(rows):
-    return sorted(tuple("-" if v is None else f"{float(v):.4f}" if isinstance(v, (int, float)) or type(v).__name__ == "Decimal" else str(v) for v in r) for r in rows)
+def kind(v):
+    if isinstance(v, bool):
+        return "bool"
+    if isinstance(v, (int, float, decimal.Decimal)):
+        return "number"
+    return "time" if isinstance(v, (datetime.datetime, datetime.date)) else type(v).__name__
+
+
+def exact(v):
+    """Whole numbers as they are, others to nine digits; no number is a text."""
+    if isinstance(v, bool) or v is None or isinstance(v, (str, datetime.datetime, datetime.date)):
+        return repr(v)
+    return repr(int(v)) if v == int(v) else f"{float(v):.9g}"
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -18,5 +32,15 @@ def test_matches_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
-    want = con.execute("select " + ", ".join(f'"{c}"' for c in cols) + f" from ({registry.oracle_sql()[name]}) q").fetchall()
-    assert norm(map(tuple, df.select(*cols).collect())) == norm(want)
+    sql = registry.oracle_sql()[name]
+    assert sorted(c[0] for c in con.execute(f"select * from ({sql}) q limit 0").description) == cols
+    want = con.execute("select " + ", ".join(f'"{c}"' for c in cols) + f" from ({sql}) q").fetchall()
+    got = [tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()]
+    rows = lambda r: sorted(tuple(map(exact, x)) for x in r)
+    kinds = lambda r: [{kind(x[i]) for x in r if x[i] is not None} for i in range(len(cols))]
+    assert rows(got) == rows(want)
+    assert kinds(got) == kinds(want)
+
+
+def test_every_query_has_sql():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == set()
