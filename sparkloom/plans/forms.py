@@ -10,7 +10,7 @@ FORMS = {
     "join_semi_anti_syntax": ("select count(*) as n, 'semi' as kind from orders o left semi join lineitem l on l.l_orderkey = o.o_orderkey and l_quantity > 45 union all select count(*), 'anti' from orders o left anti join lineitem l on l.l_orderkey = o.o_orderkey and l_quantity > 45",
                               "select count(*) as n, 'semi' as kind from orders o semi join (select * from lineitem where l_quantity > 45) l on l.l_orderkey = o.o_orderkey union all select count(*), 'anti' from orders o anti join (select * from lineitem where l_quantity > 45) l on l.l_orderkey = o.o_orderkey"),
     "dialect_right_semi": ("select c_custkey from orders o right semi join customer c on o.o_custkey = c.c_custkey and o.o_totalprice > 200000", "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 200000)"),
-    "dialect_right_anti": ("select c_custkey from orders o right anti join customer c on o.o_custkey = c.c_custkey where c.c_acctbal > 0", "select c_custkey from customer where c_acctbal > 0 and c_custkey not in (select o_custkey from orders where o_custkey is not null)"),
+    "dialect_right_anti": ("select c_custkey from orders o right anti join customer c on o.o_custkey = c.c_custkey and o.o_totalprice > 250000 where c.c_acctbal > 0", "select c_custkey from customer where c_acctbal > 0 and c_custkey not in (select o_custkey from orders where o_custkey is not null and o_totalprice > 250000)"),
     "dialect_straight_prewhere": ("select n_name, count(*) as n from customer straight_join nation on c_nationkey = n_nationkey prewhere c_acctbal > 100 where n_regionkey < 3 group by n_name", "select n_name, count(*) as n from customer join nation on c_nationkey = n_nationkey where c_acctbal > 100 and n_regionkey < 3 group by n_name"),
     "dialect_qualify": ("select user_id, event_id, row_number() over (partition by user_id order by ts desc) as rn from events where event_type = 'view' qualify rn <= 2", None),
     "dialect_qualify_window": ("select o_custkey, o_orderkey from orders qualify rank() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1 order by o_custkey limit 500", None),
