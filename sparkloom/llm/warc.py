@@ -2,14 +2,15 @@
 
 Writing gives the index: archive, offset, length, URL and digest of every record, staged before anything is read. Reading
 takes index rows, sorts them by archive and offset, and fetches neighbours that lie within GAP bytes in one ranged read of
-up to READ_BYTES. Archives are .warc files of some ARCHIVE_BYTES under a name of their own, so a task that runs again
-leaves at most an archive that no index row names.
+up to READ_BYTES. Archives are .warc.gz files, one gzip member a record, of some ARCHIVE_BYTES under a name of their own, so
+a task that runs again leaves at most an archive that no index row names.
 Of equal payloads the one with the smallest page_id is the response and later ones are revisits of it; null page ids,
 which have no order, are all responses, and so are further rows with the smallest page_id itself. Null payloads are empty;
 null URLs give records without a URL; repeated rows give repeated records; empty tables give an empty index; extra columns
 are ignored; a payload of any size is written and read whole.
 """
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -40,7 +41,7 @@ def _record(page_id, url, payload, digest, refers):
     if refers is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
-    return ("\r\n".join([*head, f"Content-Length: {len(payload)}"]) + "\r\n\r\n").encode() + payload + b"\r\n\r\n"
+    return gzip.compress(("\r\n".join([*head, f"Content-Length: {len(payload)}"]) + "\r\n\r\n").encode() + payload + b"\r\n\r\n", 1, mtime=0)
 
 
 def write(pages):
@@ -59,8 +60,8 @@ def write(pages):
         for batch in batches:
             for page_id, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))):
                 if out is None:
-                    name, at, rows = f"{uuid.uuid4().hex}.warc", 0, []
-                    out = store.open_output_stream(f"{root}/{name}")
+                    name, at, rows = f"{uuid.uuid4().hex}.warc.gz", 0, []
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)  # the records are members of their own
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 record = _record(page_id, url, payload, digest, refers)
                 out.write(record)
@@ -80,7 +81,7 @@ def write(pages):
 
 
 def _parse(record):
-    head, _, rest = record.partition(b"\r\n\r\n")
+    head, _, rest = gzip.decompress(record).partition(b"\r\n\r\n")
     h = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     body = rest[: int(h["Content-Length"])]
     digest, kind = h["WARC-Payload-Digest"][5:], h["WARC-Type"]
