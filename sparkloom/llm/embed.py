@@ -1,6 +1,6 @@
 """Embedding near-dedup inside labels: PCA-ordered tiles, residual bounds by suffix norms, exact links.
 
-Vectors are rotated to the principal axes. The first three axes are cut in cells as wide as two linked vectors can lie
+Vectors are rotated to the principal axes. The first two axes are cut in cells as wide as two linked vectors can lie
 apart, so only neighbouring cells meet; a full cell is cut in as many tiles as it needs. A pair's product is summed from
 the leading axes on and given up once the norms of what is left cannot reach the threshold; products at the threshold
 are made again from the vectors as they came.
@@ -18,7 +18,7 @@ from .common import add_up, components, forest, staged, table
 THRESHOLD = 0.93
 TILE = 2048
 LEAD = 16
-AXES = 3
+AXES = 2
 
 
 def _rotation(groups, dim):
