@@ -109,6 +109,9 @@ def test_cluster_names():
 def test_dialect_leaves_other_statements_alone():
     for sql in ("select a . b from t where x is distinct from 1", "select 'qualify any (select' as s , `at time zone` from t -- note".replace(" -- note", "")):
         assert dialect.rewrite(sql).replace(" ", "") == sql.replace(" ", "")
+    parts = ["/*+ broadcast(t) */", "10L", ".5", "1e3", r"'it\'s  so'", r"r'a\d'", "x == 1", "x <=> y", '"q  q"']
+    sql = "select {} {} as a , {} as b , {} as c , {} as d , {} as e , {} as f , {} as g , {} as h from t".format(*parts)
+    assert dialect.rewrite(sql) == sql
     with pytest.raises(ValueError):
         dialect.rewrite("select (1")
     assert dialect.rewrite("select 1 /* qualify */") == "select 1"
