@@ -226,3 +226,55 @@ def test_reports_liveness_and_quantiles(spark):
     v = spark.range(1, 101).select(F.timestamp_seconds(F.col("id") % 2 * 3600).alias("ts"), F.col("id").cast("double").alias("v"))
     q = {x.began.hour: (x.p50, x.p99) for x in activity.latency_summary(v, "ts", "v", "1 hour").collect()}
     assert q == {0: (50.0, 100.0), 1: (49.0, 99.0)}
+
+
+def numbered(spark, n, length=10, first=0):
+    rows = [("a", 0, 0, k, k, k, length) for k in range(first, first + n)]
+    return spark.createDataFrame(rows, "app_id string, shuffle_id int, partition_id int, seq long, block_id long, task_attempt_id long, length int")
+
+
+def test_pages_of_ten_blocks(spark):
+    def page(cursor, budget):
+        r = blocks.cursor_read(numbered(spark, 10), cursor, budget).orderBy("seq").collect()
+        return [x.block_id for x in r], r[-1].is_end
+
+    assert page(-1, 20)[0] == [0, 1] and page(100, 20)[0] == [0, 1] and page(3, 20)[0] == [4, 5]
+    assert page(-1, 101) == (list(range(10)), True)
+    assert page(-1, 49) == (list(range(5)), False)
+    assert page(5, 100) == ([6, 7, 8, 9], True)
+    five = numbered(spark, 5, 5)
+    first, rest = (blocks.cursor_read(five, c, 15).collect() for c in (-1, 2))
+    assert (len(first), first[0].is_end, len(rest), rest[0].is_end) == (3, False, 2, True)
+
+
+def test_block_ids_of_layouts(spark):
+    bits = (18, 24, 21)
+    one = spark.range(1).select(blocks.pack(F.lit(123), F.lit(45), F.lit(67), bits).alias("id"))
+    assert one.select(blocks.partition_of(F.col("id"), bits), blocks.task_of(F.col("id"), bits)).first()[:] == (45, 67)
+
+
+def test_block_id_sets(spark):
+    ids = spark.range(2000).select(F.lit("a").alias("app_id"), F.lit(1).alias("shuffle_id"), (F.col("id") % 100).cast("int").alias("partition_id"), F.col("id").alias("block_id"))
+    wanted = lambda n: spark.range(n).select(F.lit("a").alias("app_id"), F.lit(1).alias("shuffle_id"), F.col("id").cast("int").alias("partition_id"))
+    assert [blocks.id_union(ids, wanted(n)).count() for n in (1, 4)] == [20, 80]
+    none = spark.createDataFrame([], "app_id string, shuffle_id int")
+    assert blocks.id_counter(ids, none).first().n == 2000
+    assert blocks.id_counter(ids, spark.createDataFrame([("a", 1)], "app_id string, shuffle_id int")).first().n == 0
+
+
+def test_reports_of_tasks(spark):
+    r = spark.createDataFrame([("a", 1, p, t, 10, k) for p in range(20) for t in (10, 20) for k in range(2)], "app_id string, shuffle_id int, partition_id int, task_attempt_id long, record_number long, report_seq int")
+    latest = blocks.record_stats(r)
+    assert latest.count() == 40 and latest.agg(F.sum("record_number")).first()[0] == 400
+    two = r.unionByName(r.withColumn("app_id", F.lit("b")).withColumn("record_number", F.lit(7)))
+    assert {(x.app_id, x.record_number) for x in blocks.record_stats(two).collect()} == {("a", 10), ("b", 7)}
+    got = blocks.stats_of(latest, spark.createDataFrame([("a", 1, 3), ("a", 1, 99)], "app_id string, shuffle_id int, partition_id int")).collect()
+    assert [(x.partition_id, x.record_numbers) for x in got] == [(3, {10: 10, 20: 10})]
+
+
+def test_host_policies_of_three_servers(spark):
+    n = spark.createDataFrame([("s1", "host-a"), ("s2", "host-a"), ("s3", "host-b")], "id string, ip string").withColumns({"free_memory": F.lit(100), "tags": F.array(F.lit("x")), "is_healthy": F.lit(True)})
+    pick = lambda want, policy: [r.id for r in blocks.pick_servers(blocks.rank_servers(n, ["x"]), want, policy).collect()]
+    assert pick(2, "NONE") == ["s1", "s2"] and pick(3, "MUST_DIFF") == ["s1", "s3"] and pick(3, "PREFER_DIFF") == ["s1", "s3", "s2"]
+    assert blocks.rank_servers(n, ["y"]).count() == 0
+    assert {r.id for r in blocks.rank_servers(n, faulty=spark.createDataFrame([("s1",)], "id string")).collect()} == {"s2", "s3"}
