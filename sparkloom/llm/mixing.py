@@ -5,7 +5,7 @@ floor(i q / w) and the deadline ceil((i + 1) q / w). Earliest deadline first ove
 one period, so at every time each source is less than one block off its share; the period then repeats without end.
 Every document keeps its row: slot orders the mix, in_mix says that no source has run out before this slot.
 Documents of a source are numbered by doc_id: counts of small chunks of ids are summed up in two levels, so neither a hot
-source nor its chunks meet in one task. Null ids come first, by hash of their text; equal doc_ids are ordered by text;
+source nor its chunks meet in one task. Null ids come first; null and equal doc_ids are ordered by a hash of the text;
 null sources are the source ''; null texts are empty; an empty table gives no rows. Columns of docs keep their names and
 values; where one is called block, slot or in_mix, it stays and the new column is called mix_block, mix_slot or mix_in_mix.
 The schedule's size depends on the sources alone; it is broadcast up to MANY sources and joined by source beyond that.
@@ -39,26 +39,22 @@ def schedule(weights):
     return flat.select(F.expr("s[k].source").alias("source"), F.expr("s[k].w").alias("w"), "q", "pos").withColumn("nth", F.row_number().over(w) - 1)
 
 
-def _chunked(df):
-    """Adds __s, __k and __c: source, big chunk and small chunk of ids; chunks of null ids come first, by hash of the text."""
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    small = F.when(F.col("doc_id").isNull(), F.shiftright(h, 44) - 2**60).otherwise(F.shiftright("doc_id", CHUNK_BITS))
-    d = df.withColumns({"__s": F.coalesce("source", F.lit("")), "__c": small, "__h": F.when(F.col("doc_id").isNull(), h)})
-    return d.withColumn("__k", F.shiftright("__c", 10))
-
-
 def mix(docs, weights=None, block_docs=BLOCK_DOCS):
     """All columns of docs and block, slot, in_mix."""
     names = [c if c not in docs.columns else f"mix_{c}" for c in ("block", "slot", "in_mix")]
-    plain = docs.select(*(F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(docs.columns)), "doc_id", "text", "source")
-    d = _chunked(plain)
+    at = {c: F.col(f"__in_{i}") for i, c in enumerate(docs.columns)}
+    h = F.xxhash64(F.coalesce(at["text"], F.lit("")))
+    # chunks of null ids come first, by hash of the text
+    small = F.when(at["doc_id"].isNull(), F.shiftright(h, 44) - 2**60).otherwise(F.shiftright(at["doc_id"].cast("long"), CHUNK_BITS))
+    d = docs.select(*(F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(docs.columns)))
+    d = d.withColumns({"__s": F.coalesce(at["source"], F.lit("")), "__c": small, "__h": h}).withColumn("__k", F.shiftright("__c", 10))
     size = d.groupBy("__s", "__k", "__c").agg(F.count("*").alias("__n"))
     run = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     big = size.groupBy("__s", "__k").agg(F.sum("__n").alias("n"))
     big = big.select("__s", "__k", F.coalesce(F.sum("n").over(run(Window.partitionBy("__s").orderBy("__k"))), F.lit(0)).alias("__b"))
     inner = F.coalesce(F.sum("__n").over(run(Window.partitionBy("__s", "__k").orderBy("__c"))), F.lit(0))
     start = size.withColumn("__i", inner).join(big, ["__s", "__k"]).select("__s", "__c", (F.col("__b") + F.col("__i")).alias("__b"))
-    place = Window.partitionBy("__s", "__c").orderBy(F.col("doc_id").asc_nulls_first(), "__h", "text")
+    place = Window.partitionBy("__s", "__c").orderBy(at["doc_id"].asc_nulls_first(), "__h")
     numbered = d.drop("__k").join(start, ["__s", "__c"]).withColumn("__i", F.row_number().over(place) - 1 + F.col("__b"))
     numbered = numbered.withColumn("__block", F.floor(F.col("__i") / block_docs).cast("long"))
     plan = schedule(weights if weights is not None else shares(docs))
