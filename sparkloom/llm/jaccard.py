@@ -7,7 +7,7 @@ ones first, linked texts share one of their first n - ceil(4n / 5) + 1 shingles,
 not joined yet are confirmed too. The order comes from a sketch of counts of fixed size; another order changes the cost and
 no result. Documents stay in their shards; only shared shingles, links and the texts of candidate pairs move.
 Null and empty texts have no shingles and link to one another; equal shingle sets collapse before any comparison; texts of
-fewer than N words are one shingle; an empty table gives no rows. Shingles are known by a 64-bit hash.
+fewer than N words are one shingle; an empty table gives no rows. Shingles are known by a hash of HASH_BITS.
 """
 import itertools
 
@@ -17,42 +17,42 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, staged, word_spans
+from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, split_by, staged, word_spans
 from .substring import BASES, roll
 
 N = 5
-CELLS = 1 << 20
+CELL_BITS = 18
+CELLS = 1 << CELL_BITS
 TILE = 512
+SLOTS = 128
+HASH_BITS = np.uint64(50)  # beside the number of a document, which is below MOST_DOCS
 SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 
 
 def shingles(b, lens, n=N):
-    """(document, hash) of the distinct n-word shingles of the documents of these lengths, by document and hash."""
+    """Sorted (document << HASH_BITS | hash) of the distinct n-word shingles of at most MOST_DOCS documents of these lengths."""
     b = LOWER[b]
     begin, end, doc = word_spans(b, lens)
     h, size = Rolling(b)(begin, end), np.bincount(doc, minlength=len(lens))
-    first = np.cumsum(size) - size
-    docs, hashes = [], []
+    first, keys = np.cumsum(size) - size, []
     for k in range(1, n + 1):
         if k == n:
             at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
         else:
             at = first[size == k]  # a short text is one shingle
         if len(at):
-            docs.append(doc[at])
-            hashes.append(mixed(roll(h, BASES[0], k)[at] + np.uint64(k)))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    docs, hashes = np.concatenate(docs), np.concatenate(hashes)
-    by = np.lexsort((hashes, docs))
-    docs, hashes = docs[by], hashes[by]
-    new = np.r_[True, (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])]
-    return docs[new], hashes[new]
+            keys.append((doc[at].astype(np.uint64) << HASH_BITS) | (mixed(roll(h, BASES[0], k)[at] + np.uint64(k)) >> np.uint64(64 - int(HASH_BITS))))
+    keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    return keys[runs_of(keys)]
+
+
+def parts(keys):
+    return (keys >> HASH_BITS).astype(np.int64), keys & ((np.uint64(1) << HASH_BITS) - np.uint64(1))
 
 
 def _cell(h):
-    return (h >> np.uint64(44)).astype(np.int64)
+    return (h >> np.uint64(int(HASH_BITS) - CELL_BITS)).astype(np.int64)
 
 
 class Shard:
@@ -61,31 +61,32 @@ class Shard:
     def __init__(self, row, counts):
         self.row, self.lens = row, row["lens"].to_numpy()
         self.rows = (row["shard"] << 14) + np.arange(len(self.lens))
-        self.doc, self.hash = shingles(row["blob"], self.lens)
+        self.doc, self.hash = parts(shingles(row["blob"], self.lens))
         self.size = np.bincount(self.doc, minlength=len(self.lens))
         first = np.cumsum(self.size) - self.size
-        by = np.lexsort((counts[_cell(self.hash)], self.doc))
+        # by document, count and hash: the sort is stable and the hashes of a document stand in order
+        by = np.argsort((self.doc << 40) + counts[_cell(self.hash)], kind="stable")
         at = np.arange(len(by)) - first[self.doc]
         short = at < (self.size - (4 * self.size + 4) // 5 + 1)[self.doc]
         self.key, self.of, self.pos = self.hash[by[short]], self.doc[short], at[short]
 
     def keys(self, spread):
         """Distinct prefix shingles by bucket, the index of each prefix entry among them, and the bounds of the buckets."""
-        by = np.lexsort((self.key, route(self.key, spread)))
-        begin = runs_of(self.key[by])
-        place = np.empty(len(by), np.int64)
-        place[by] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(by)]))
-        keys = self.key[by][begin]
-        return keys, place, np.searchsorted(route(keys, spread), np.arange(spread + 1))
+        keys, place = np.unique(self.key, return_inverse=True)
+        order, edge = split_by(route(keys, spread), spread)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return keys[order], rank[place], edge
 
     def sets(self):
-        """Two hashes of each document's shingle set."""
+        """Two hashes of each document's shingle set, and how many of its shingles fall in each of SLOTS slots."""
         out = []
-        for base in (1, 2):
+        for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
             sums = np.zeros(len(self.lens), np.uint64)
-            np.add.at(sums, self.doc, mixed(self.hash ^ np.uint64(base * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+            np.add.at(sums, self.doc, mixed(self.hash ^ salt))
             out.append(mixed(sums + self.size.astype(np.uint64)).view(np.int64))
-        return out
+        slots = np.bincount(self.doc * SLOTS + (self.hash % np.uint64(SLOTS)).astype(np.int64), minlength=len(self.lens) * SLOTS)
+        return *out, [x.tobytes() for x in slots.reshape(-1, SLOTS).astype(np.uint16 if slots.max(initial=0) < 65536 else np.uint32)]
 
 
 def _settle_shared(asked):
@@ -102,33 +103,47 @@ def _settle_shared(asked):
             yield s, np.packbits(part).tobytes()
 
 
+def _possible(batches):
+    """Pairs(a, b, n_a, n_b, slots_a, slots_b) whose counts by slot let enough shingles be common."""
+    for batch in batches:
+        n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+        most = np.empty(batch.num_rows, np.int64)
+        for k, (x, y, p, q) in enumerate(zip(batch.column("slots_a"), batch.column("slots_b"), *n)):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint16 if len(z.as_buffer()) == 2 * SLOTS else np.uint32) for z in (x, y))
+            most[k] = np.minimum(x, y).sum()
+        ok = pa.array(9 * most >= 4 * (n[0] + n[1]))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in "ab"], ["a", "b"])
+
+
 def _similar(batches):
     """Pairs(a, b, text_a, text_b) with a similarity of 4/5 or more; two texts without words are alike."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            doc, h, size = [], [], []
-            for c in ("text_a", "text_b"):
-                data, begin, lens = raw(part.column(c))
-                d, x = shingles(data[begin[0] : begin[0] + lens.sum()], lens)
-                doc.append(d)
-                h.append(x)
-                size.append(np.bincount(d, minlength=len(lens)))
-            d, x = np.concatenate(doc), np.concatenate(h)
-            by = np.lexsort((x, d))
-            both = (d[by][1:] == d[by][:-1]) & (x[by][1:] == x[by][:-1])
-            common = np.bincount(d[by][1:][both], minlength=part.num_rows)
+        sides = [raw(batch.column(c)) for c in ("text_a", "text_b")]
+        grown = np.cumsum(sides[0][2] + sides[1][2])
+        cut = [0, *(np.flatnonzero(np.diff(grown >> 20)) + 1).tolist(), batch.num_rows]  # some 1 MiB of texts at a time
+        for lo, hi in zip(cut, cut[1:]):
+            if lo == hi:
+                continue
+            keys, size = [], []
+            for data, begin, lens in sides:
+                keys.append(shingles(data[begin[lo] : begin[lo] + lens[lo:hi].sum()], lens[lo:hi]))
+                size.append(np.bincount(parts(keys[-1])[0], minlength=hi - lo))
+            both = np.sort(np.concatenate(keys))
+            common = np.bincount(parts(both[1:][both[1:] == both[:-1]])[0], minlength=hi - lo)
             ok = pa.array(9 * common >= 4 * (size[0] + size[1]))
-            yield pa.RecordBatch.from_arrays([part.column(c).filter(ok) for c in "ab"], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo).filter(ok) for c in "ab"], ["a", "b"])
 
 
 def _meeting(batches):
-    """Pairs of different components that share a prefix shingle and whose sizes and places still allow the overlap."""
-    def compare(x, y):
-        (rx, nx, px, cx), (ry, ny, py, cy) = ([p[c].to_numpy() for c in ("row", "n", "pos", "c")] for p in (x, y))
-        most = np.minimum((nx - px)[:, None], (ny - py)[None, :])
-        i, j = np.nonzero((9 * most >= 4 * (nx[:, None] + ny[None, :])) & (cx[:, None] != cy[None, :]))
-        return np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])
+    """Pairs of different components that share a prefix shingle and whose sizes and places still allow the overlap.
+
+    Rows come by (key, lo, hi). In a tile of its own every row meets those after it; in a pair of tiles those of the other.
+    """
+    def meet(p, x, y):
+        n, left, c, row = (p[k].to_numpy() for k in ("n", "left", "c", "row"))
+        ok = (c[x] != c[y]) & (9 * np.minimum(left[x], left[y]) >= 4 * (n[x] + n[y]))
+        x, y = row[x[ok]], row[y[ok]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y)])
 
     names, rest = ["key", "lo", "hi"], None
     for pdf in itertools.chain(batches, [None]):
@@ -136,19 +151,23 @@ def _meeting(batches):
         if whole is None or not len(whole):
             continue
         keys = whole[names].to_numpy()
-        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
-        ends = np.r_[new[1:], len(whole)]
-        if pdf is not None:
-            rest, new, ends = whole.iloc[new[-1]:], new[:-1], ends[:-1]
-        found = set()
-        for s, t in zip(new.tolist(), ends.tolist()):
-            p = whole.iloc[s:t]
-            lo, hi = p[p.i == p.lo], p[p.i == p.hi]
-            found.update(zip(*(z.tolist() for z in compare(lo, hi))))
-            if len(found) > 100_000:
-                yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
-                found = set()
-        yield pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
+        group = np.cumsum(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) - 1
+        end = len(whole) if pdf is None else int(np.searchsorted(group, group[-1]))
+        rest, whole, group = whole.iloc[end:], whole.iloc[:end], group[:end]
+        whole = whole.assign(left=whole.n - whole.pos)
+        alone, found = (whole.lo == whole.hi).to_numpy(), []
+        own, g, k = whole[alone], group[alone], 1
+        while len(at := np.flatnonzero(g[k:] == g[:-k])) if k < len(g) else 0:
+            found.append(meet(own, at, at + k))
+            k += 1
+        two, g = whole[~alone], group[~alone]
+        for lo, hi in zip(begin := runs_of(g), np.r_[begin[1:], len(g)]):
+            p = two.iloc[lo:hi]
+            x, y = np.flatnonzero((p.i == p.lo).to_numpy()), np.flatnonzero((p.i == p.hi).to_numpy())
+            found.append(meet(p, np.repeat(x, len(y)), np.tile(y, len(x))))
+        if found:
+            a, b = np.unique(np.concatenate(found, 1), axis=1)
+            yield pd.DataFrame({"a": a, "b": b})
 
 
 class Copies:
@@ -192,10 +211,10 @@ class Copies:
             out = np.zeros(CELLS)
             for batch in batches:
                 for row in plain_rows(batch):
-                    out += np.bincount(_cell(shingles(row["blob"], row["lens"].to_numpy())[1]), minlength=CELLS)
+                    out += np.bincount(_cell(parts(shingles(row["blob"], row["lens"].to_numpy()))[1]), minlength=CELLS)
             return out
 
-        shared = shards.spark.sparkContext.broadcast(add_up(self.rows, count, CELLS).astype(np.float32))  # CELLS numbers
+        shared = shards.spark.sparkContext.broadcast(add_up(self.rows, count, CELLS).astype(np.int64))  # CELLS numbers
 
         def ask(row):
             s = Shard(row, shared.value)
@@ -216,17 +235,19 @@ class Copies:
                     bits = np.zeros(len(keys), np.uint8)
                     fill(bits, edge, row["both"], np.unpackbits)
                     at = np.flatnonzero(bits[place])
-                    one, two = s.sets()
+                    one, two, slots = s.sets()
                     none = len(s.rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.r_[s.rows, s.rows[s.of[at]]]), pa.array(np.r_[s.size, s.size[s.of[at]]].astype(np.int64)), pa.array([None] * none + s.pos[at].tolist(), pa.int64()),
-                         pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)])],
-                        ["row", "n", "pos", "key", "s", "t"])
+                         pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)]), pa.array(slots + [None] * len(at), pa.binary())],
+                        ["row", "n", "pos", "key", "s", "t", "slots"])
 
-        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(held, "row long, n long, pos long, key long, s long, t long"))
+        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(held, "row long, n long, pos long, key long, s long, t long, slots binary"))
+        shared.unpersist()
         rows = every.where("key is null").select("row", "s", "t", "n")
         sets = staged(rows.groupBy("s", "t", "n").agg(F.min("row").alias("row")))
         lead = sets.select("row")
+        slots = every.where("key is null").select("row", "n", "slots").join(lead, "row", "left_semi")
         # links of the SimHash operator between fingerprints, and of the rows of one fingerprint to their least one
         prints = staged(simhash.fingerprints(self.texts(lead), N).withColumnRenamed("doc_id", "row"))
         least = staged(prints.groupBy("fp").agg(F.min("row").alias("first")))
@@ -244,6 +265,8 @@ class Copies:
         dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
         tasks = 4 * int(shards.spark.conf.get("spark.sql.shuffle.partitions"))
         pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_meeting, "a long, b long")
+        one, two = (slots.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
+        pairs = pairs.distinct().join(one, "a").join(two, "b").mapInArrow(_possible, "a long, b long")
         comp = components(links.unionByName(self.confirmed(pairs))).withColumnRenamed("id", "row")
         named = sets.join(comp, "row", "left").select("s", "t", "n", F.coalesce("component_id", "row").alias("group"))
         return rows.join(named, ["s", "t", "n"]).select("row", "group")
