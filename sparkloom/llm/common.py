@@ -1,6 +1,8 @@
 """Shared helpers: staged tables, documents packed in shards, exchanges between shards, and distributed components."""
 import contextlib
+import ctypes
 import functools
+import gc
 import itertools
 import uuid
 
@@ -17,6 +19,7 @@ MOST_DOCS = 1 << 14  # of a shard; a shard number and a place in the shard fit o
 
 
 def table(spark, sf_dir, name):
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +40,7 @@ def staged(df):
     """Write df once as Parquet in the shared folder and read it back; this cuts lineage durably."""
     spark = df.sparkSession
     path = new_path(spark)
+    bounded_batches(spark)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -50,16 +54,20 @@ def discard(df):
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-@contextlib.contextmanager
-def small_batches(spark, size="8m"):
-    """While jobs run inside, Arrow batches hold some 8 MB, whatever the session says."""
+def bounded_batches(spark, size="8m"):
+    """Arrow batches of some 8 MB from here on, where the session has no size of its own; the built-in 64 MB, times buffers
+    on both sides and tasks, is what would fill an executor beside its heap."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
+def trim():
+    """Give freed memory back to the system; what a fit or a shard needed for a moment would else stay with the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def long_hash(x):
@@ -133,6 +141,7 @@ class Shards:
                     n += len(row[1])
             if rows:
                 yield flush(rows)
+            trim()
 
         names = [k.split()[0] for k in kind.split(", ")]
         arrow = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("carried", pa.list_(pa.string())), ("lens", pa.list_(pa.int64())), *((k, pa.binary()) for k in names)])
@@ -141,9 +150,10 @@ class Shards:
         self.path = new_path(spark)
         # small row groups: writers and readers hold a few shards at a time, however many a bucket has
         small = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.block.row.count.limit": "4"}
-        with small_batches(spark):
-            out.write.option("path", self.path).options(**small).bucketBy(buckets, "shard").saveAsTable(name)
+        bounded_batches(spark)
+        out.write.option("path", self.path).options(**small).bucketBy(buckets, "shard").saveAsTable(name)
         self.rows = spark.table(name)
+        spark.sql(f"drop table {name}")  # the name goes from the catalog; the files stay, and the plan knows them
 
     def with_answers(self, rows, answers, name):
         """rows (shard, ..) with the answers of a trip as array column name; the answers move, the shards stay."""
@@ -162,6 +172,7 @@ class Shards:
                     found = list(emit(row))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([row["shard"]] * len(found), pa.int64()), pa.array([d for _, d in found], pa.binary())], ["bucket", "shard", "data"])
+            trim()
 
         def answer(batches):
             held = {}
@@ -172,11 +183,11 @@ class Shards:
                 out = list(settle(sorted(held.pop(b))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b] * len(out), pa.int32()), pa.array([d for _, d in out], pa.binary())], ["shard", "bucket", "data"])
+            trim()
 
         asked = rows.mapInArrow(ask, "bucket int, shard long, data binary").repartitionById(spread, F.col("bucket"))
         answered = asked.mapInArrow(answer, "shard long, bucket int, data binary")
-        with small_batches(self.spark):
-            return staged(answered.groupBy("shard").agg(F.collect_list(F.struct("bucket", "data")).alias("got")))
+        return staged(answered.groupBy("shard").agg(F.collect_list(F.struct("bucket", "data")).alias("got")))
 
 
 def plain_rows(batch):
@@ -215,10 +226,13 @@ def add_up(df, fn, size, blocks=32, groups=16):
             yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "g": pa.array([0], pa.int32()), "m": pa.array([m.tobytes()], pa.binary())})
 
     kind = "k int, g int, m binary"
-    with small_batches(df.sparkSession):
-        got = df.mapInArrow(run, kind).repartition("k", "g").mapInArrow(fold, kind).repartition("k").mapInArrow(fold, kind).toArrow()
+    bounded_batches(df.sparkSession)
+    got = df.mapInArrow(run, kind).repartition("k", "g").mapInArrow(fold, kind).repartition("k").mapInArrow(fold, kind).toArrow()
     out = {k: np.frombuffer(m.as_buffer(), np.float64) for k, m in zip(got["k"].to_pylist(), got["m"])}
-    return np.concatenate([out[k] for k in range(blocks)]) if out else np.zeros(size)
+    out = np.concatenate([out[k] for k in range(blocks)]) if out else np.zeros(size)
+    del got
+    trim()
+    return out
 
 
 def mixed(x):
@@ -339,12 +353,42 @@ def settle_first(asked, kind, ties=True):
             yield s, np.packbits(part).tobytes()
 
 
+def _stars(batches, most=1 << 20):
+    """Edges(u, v) of a task replaced, a million at a time, by edges from every id to the smallest it reaches among them."""
+    def contract(held):
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v"))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = list(range(len(ids)))
+        for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            root[max(x, y)] = min(x, y)
+        for x in range(len(ids)):  # a root is never greater, so one pass in order is enough
+            root[x] = root[root[x]]
+        least = ids[np.array(root)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[least < ids]), pa.array(least[least < ids])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield contract(held)
+            held, n = [], 0
+    if n:
+        yield contract(held)
+
+
 def components(edges):
-    """Smallest id reachable for every id of edges(a, b); alternating large and small stars.
+    """Smallest id reachable for every long id of edges(a, b); alternating large and small stars.
+
+    Every task first contracts its own edges, which leaves few rounds.
 
     Hubs are combined by partial aggregation and joined, never gathered. Returns (id, component_id).
     """
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().mapInArrow(_stars, "u long, v long").distinct())
     before = None
     while True:
         sign = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import Rolling, add_up, raw, runs_of, table, word_spans
+from .common import Rolling, add_up, raw, runs_of, table, trim, word_spans
 
 CHUNK = 12
 SHORT = 24
@@ -121,9 +121,14 @@ def fit(docs, rank=RANK, seed=5):
     omega = np.random.default_rng(seed).normal(size=(size, rank))
     y = add_up(texts, sketch, size * rank).reshape(size, rank) * idf[:, None]
     w, v = np.linalg.eigh((omega.T @ y + y.T @ omega) / 2)
-    u, sigma, _ = np.linalg.svd(y @ (v / np.sqrt(np.maximum(w, 1e-9 * max(w.max(), 1e-9)))), full_matrices=False)
-    fold = 1 / np.sqrt(sigma + sigma.mean() + 1e-9)  # half a whitening, damped, so that no lone difference is blown up
-    return (u * fold * idf[:, None]).astype(np.float32), idf
+    root = y @ (v / np.sqrt(np.maximum(w, 1e-9 * max(w.max(), 1e-9))))  # G = root root'
+    square, turn = np.linalg.eigh(root.T @ root)
+    sigma = np.sqrt(np.maximum(square, 1e-18))
+    fold = 1 / (sigma * np.sqrt(sigma + sigma.mean() + 1e-9))  # half a whitening, damped, so that no lone difference is blown up
+    axes = (root @ (turn * np.where(sigma > 1e-6 * sigma.max(), fold, 0)) * idf[:, None]).astype(np.float32)
+    del y, root, omega
+    trim()
+    return axes, idf
 
 
 def padded(axes):

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table, trim
 
 TRAIN_ROWS = 4000
 BUCKETS = 1 << 14
@@ -106,6 +106,7 @@ def fit(docs, limit=TRAIN_ROWS):
     The hash cut is found on ids alone; the chosen whole texts become subword counts on the executors, so the driver gets
     at most limit rows of at most BUCKETS numbers, however long the texts are.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("h"))
     cut = rows.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
     if cut is None:
@@ -118,12 +119,16 @@ def fit(docs, limit=TRAIN_ROWS):
 
     chosen = rows.where(F.col("h") <= cut).withColumn("t", F.xxhash64("text")).mapInPandas(count, "h long, lang string, t long, ids array<int>, part array<float>")
     got = chosen.orderBy("h", "t", "lang").limit(limit).toArrow()
-    return train([(i.values.to_numpy(), p.values.to_numpy()) for i, p in zip(got["ids"], got["part"])], got["lang"].to_pylist())
+    model = train([(i.values.to_numpy(), p.values.to_numpy()) for i, p in zip(got["ids"], got["part"])], got["lang"].to_pylist())
+    del got
+    trim()
+    return model
 
 
 def predict(docs, model, carry=()):
     """Adds lang_pred, score and rejected to (doc_id); with carry, also to text and the named columns of the row."""
     names = ["doc_id", *(("text", *carry) if carry else ())]
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS * DIM floats
 
     def run(batches):
