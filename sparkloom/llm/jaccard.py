@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, split_by, staged, word_spans
+from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, split_by, staged, trim, word_spans
 from .substring import BASES, roll
 
 N = 5
@@ -256,6 +256,8 @@ class Copies:
         near = near.join(a, "a").join(b, "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
         same = prints.join(least, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
         links = self.confirmed(near.unionByName(same))
+        del near, same
+        trim()
         comp = components(links).withColumnRenamed("id", "row")
         keyed = every.where("key is not null").select("row", "n", "pos", "key").join(lead, "row", "left_semi").join(comp, "row", "left").withColumn("c", F.coalesce("component_id", "row")).drop("component_id")
         met = staged(keyed)
@@ -263,7 +265,7 @@ class Copies:
         dealt = met.join(mixed_, "key").withColumn("i", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
         dealt = dealt.withColumn("p", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")))
         dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
-        tasks = 4 * int(shards.spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = simhash.compare_tasks(shards.spark)
         pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_meeting, "a long, b long")
         one, two = (slots.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
         pairs = pairs.distinct().join(one, "a").join(two, "b").mapInArrow(_possible, "a long, b long")

@@ -95,6 +95,12 @@ def _keys(radius=RADIUS, blocks=7):
     return [sum(mask[i] for i in c) for c in itertools.combinations(range(blocks), blocks - radius)]
 
 
+def compare_tasks(spark):
+    """Four tasks for each shuffle partition while these are few; a session with many partitions keeps its own number."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, min(4 * n, 240))
+
+
 def links(fps, radius=RADIUS):
     """A spanning set of links (a, b) between distinct fingerprints fps(fp); it joins exactly what all links join."""
     masks = [m - (1 << 64) if m >> 63 else m for m in _keys(radius)]
@@ -133,7 +139,7 @@ def links(fps, radius=RADIUS):
             yield pd.DataFrame(np.array(out, np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
 
     # the rows are short and the comparisons many, so the number of tasks is set and not left to their bytes
-    tasks = 4 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = compare_tasks(fps.sparkSession)
     return dealt.repartition(tasks, "k", "v", "lo", "hi").sortWithinPartitions("k", "v", "lo", "hi").mapInPandas(run, "a long, b long")
 
 
