@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from .common import components, forest, staged, table
+from .common import components, forest, staged, table, wide
 
 RADIUS = 4
 TILE = 2048
@@ -106,7 +106,7 @@ def links(fps, radius=RADIUS):
     masks = [m - (1 << 64) if m >> 63 else m for m in _keys(radius)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "v"))
     size = keyed.groupBy("k", "v").agg(F.count("*").alias("c")).where("c > 1").withColumn("tiles", F.ceil(F.col("c") / TILE).cast("int"))
-    mine = keyed.join(size, ["k", "v"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    mine = wide(keyed).join(wide(size), ["k", "v"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     # a row of tile i goes to every pair of tiles that holds i; a bucket of one tile keeps one copy
     dealt = mine.select("k", "v", "fp", "i", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")).alias("p"))
     dealt = dealt.select("k", "v", "p.lo", "p.hi", "i", "fp")
@@ -148,10 +148,10 @@ def near_duplicates(docs, n=4, radius=RADIUS):
     fps = staged(fingerprints(docs, n))
     groups = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comp = components(links(groups.select("fp"), radius))
-    best = groups.join(comp.withColumnRenamed("id", "fp"), "fp", "left").withColumn("c", F.coalesce("component_id", "fp"))
+    best = wide(groups).join(wide(comp.withColumnRenamed("id", "fp")), "fp", "left").withColumn("c", F.coalesce("component_id", "fp"))
     low = best.groupBy("c").agg(F.min("first").alias("component"))
-    named = best.join(low, "c").select("fp", "component")
-    return fps.join(named, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
+    named = wide(best).join(wide(low), "c").select("fp", "component")
+    return wide(fps).join(wide(named), "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
 
 
 def query(spark, sf_dir):
