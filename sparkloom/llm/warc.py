@@ -17,10 +17,11 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, table
+from .common import new_path, staged, table, trim
 
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20  # of payloads that leave a task at once; one payload may be larger
 GAP = 64 << 10
 INDEX = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.string())])
 RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
@@ -72,10 +73,12 @@ def write(pages):
                     out = None
         if out is not None:
             yield close()
+        trim()
 
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload")).withColumn("d", F.sha1("payload"))
     first = p.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("d", "first")
-    marked = p.join(first, "d", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    # the first pages' ids are hashed, so no payload is sorted or held
+    marked = p.join(first.hint("shuffle_hash"), "d", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     kind = "archive string, offset long, length long, page_id long, url string, digest string"
     return staged(marked.select("page_id", "url", "payload", "refers_to").mapInArrow(run, kind))
 
@@ -105,7 +108,7 @@ def ranges(rows):
     return runs
 
 
-def _read(batches):
+def _read(batches, bodies):
     store = name = file = None
     for batch in batches:
         archives, offsets, lengths = (batch.column(c).to_pylist() for c in ("archive", "offset", "length"))
@@ -117,19 +120,29 @@ def _read(batches):
                 file = store.open_input_file(path)
             for begin, end, inside in ranges(zip(offsets[lo:hi], lengths[lo:hi])):
                 chunk = file.read_at(end - begin, begin)
-                found = [_parse(chunk[at - begin : at - begin + n]) for at, n in inside]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), RECORD)], schema=RECORD)
-
-
-def read(index):
-    """Records of the index rows (archive, offset, length), which may be any selection of them."""
+                found, held = [], 0
+                for k, (at, n) in enumerate(inside):
+                    found.append(_parse(chunk[at - begin : at - begin + n]))  # this checks the payload by its digest
+                    held += len(found[-1][-1])
+                    if not bodies:
+                        found[-1] = (*found[-1][:-1], None)
+                    if held >= BATCH_BYTES and bodies or k == len(inside) - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), RECORD)], schema=RECORD)
+                        found, held = [], 0
+                del chunk
+    trim()
+
+
+def read(index, bodies=True):
+    """Records of the index rows (archive, offset, length), which may be any selection of them. Without bodies the payloads
+    are read and checked all the same, but stay in the task."""
     # archives of a bounded size are dealt to the tasks, so the reads of one archive stay together
     rows = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
-    return rows.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    return rows.mapInArrow(lambda batches: _read(batches, bodies), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
 def query(spark, sf_dir):
-    return read(write(table(spark, sf_dir, "pages"))).drop("payload", "url")
+    return read(write(table(spark, sf_dir, "pages")), bodies=False).drop("payload", "url")
 
 
 SQL = """
