@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, split_by, staged, trim, word_spans
+from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, split_by, staged, trim, wide, word_spans
 from .substring import BASES, roll
 
 N = 5
@@ -201,7 +201,7 @@ class Copies:
         pairs = staged(pairs.distinct())
         texts = staged(self.texts(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))))
         one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").cast("binary").alias(f"text_{x}")) for x in "ab")
-        return staged(pairs.join(one, "a").join(two, "b").mapInArrow(_similar, "a long, b long"))
+        return staged(pairs.join(wide(one), "a").join(wide(two), "b").mapInArrow(_similar, "a long, b long"))
 
     def groups(self):
         """(row, group): the least row of each set of rows joined by links."""
@@ -247,31 +247,31 @@ class Copies:
         rows = every.where("key is null").select("row", "s", "t", "n")
         sets = staged(rows.groupBy("s", "t", "n").agg(F.min("row").alias("row")))
         lead = sets.select("row")
-        slots = every.where("key is null").select("row", "n", "slots").join(lead, "row", "left_semi")
+        slots = every.where("key is null").select("row", "n", "slots").join(wide(lead), "row", "left_semi")
         # links of the SimHash operator between fingerprints, and of the rows of one fingerprint to their least one
         prints = staged(simhash.fingerprints(self.texts(lead), N).withColumnRenamed("doc_id", "row"))
         least = staged(prints.groupBy("fp").agg(F.min("row").alias("first")))
         near = simhash.links(least.select("fp"))
         a, b = (least.select(F.col("fp").alias(x), F.col("first").alias(f"row_{x}")) for x in "ab")
-        near = near.join(a, "a").join(b, "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
-        same = prints.join(least, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+        near = near.join(wide(a), "a").join(wide(b), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+        same = prints.join(wide(least), "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
         links = self.confirmed(near.unionByName(same))
         del near, same
         trim()
         comp = components(links).withColumnRenamed("id", "row")
-        keyed = every.where("key is not null").select("row", "n", "pos", "key").join(lead, "row", "left_semi").join(comp, "row", "left").withColumn("c", F.coalesce("component_id", "row")).drop("component_id")
+        keyed = every.where("key is not null").select("row", "n", "pos", "key").join(wide(lead), "row", "left_semi").join(wide(comp), "row", "left").withColumn("c", F.coalesce("component_id", "row")).drop("component_id")
         met = staged(keyed)
         mixed_ = met.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi").select("key", "tiles")
-        dealt = met.join(mixed_, "key").withColumn("i", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
+        dealt = met.join(wide(mixed_), "key").withColumn("i", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
         dealt = dealt.withColumn("p", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")))
         dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
         tasks = simhash.compare_tasks(shards.spark)
         pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_meeting, "a long, b long")
         one, two = (slots.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
-        pairs = pairs.distinct().join(one, "a").join(two, "b").mapInArrow(_possible, "a long, b long")
+        pairs = pairs.distinct().join(wide(one), "a").join(wide(two), "b").mapInArrow(_possible, "a long, b long")
         comp = components(links.unionByName(self.confirmed(pairs))).withColumnRenamed("id", "row")
-        named = sets.join(comp, "row", "left").select("s", "t", "n", F.coalesce("component_id", "row").alias("group"))
-        return rows.join(named, ["s", "t", "n"]).select("row", "group")
+        named = sets.join(wide(comp), "row", "left").select("s", "t", "n", F.coalesce("component_id", "row").alias("group"))
+        return rows.join(wide(named), ["s", "t", "n"]).select("row", "group")
 
     def firsts(self):
         """(doc_id, text, carried) of one row of each group: the smallest doc_id, null ids last, then the least row."""
@@ -279,7 +279,7 @@ class Copies:
         # a shard's documents stand by doc_id, so the first of a group is known from its rows and their ids
         ids = self.rows.select("shard", F.posexplode("ids").alias("at", "doc_id")).select((F.shiftleft("shard", 14) + F.col("at")).alias("row"), "doc_id")
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-        kept = ids.join(groups, "row").groupBy("group").agg(F.min(order).alias("o")).select("o.row")
+        kept = ids.join(wide(groups), "row").groupBy("group").agg(F.min(order).alias("o")).select("o.row")
         asked = staged(kept.groupBy(F.shiftright("row", 14).alias("shard")).agg(F.collect_list("row").alias("got")))
         rows = self.shards.with_answers(self.shards.rows.select("shard", "ids", "lens", "blob", "carried"), asked, "kept").where("kept is not null")
 

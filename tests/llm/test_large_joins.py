@@ -1,7 +1,7 @@
 """Joins whose rows grow with the input are never broadcast, however small their files are."""
 from pyspark.sql import functions as F
 
-from sparkloom.llm import simhash
+from sparkloom.llm import jaccard, simhash
 from sparkloom.llm.common import staged
 
 
@@ -19,3 +19,9 @@ def test_simhash_keys(spark):
     out = simhash.near_duplicates(docs(spark))
     assert "Broadcast" not in plan(out) and out.count() == 60
 
+
+def test_groups_of_copies(spark):
+    copies = jaccard.Copies(docs(spark))
+    groups = copies.groups()
+    assert "Broadcast" not in plan(groups) and groups.count() == 60
+    assert "Broadcast" not in plan(copies.firsts())
