@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, split_by, staged, trim, wide, word_spans
+from .common import LOWER, Rolling, Shards, add_up, components, fill, mixed, plain_rows, raw, route, runs_of, split_by, staged, tidy, trim, wide, word_spans
 from .substring import BASES, roll
 
 N = 5
@@ -194,14 +194,14 @@ class Copies:
                     text = [row["blob"][at[k] : at[k + 1]].tobytes() for k in which.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array((row["shard"] << 14) + which), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-        return rows.mapInArrow(run, "doc_id long, text string")
+        return rows.mapInArrow(tidy(run), "doc_id long, text string")
 
     def confirmed(self, pairs):
         """The pairs(a, b) of rows whose texts are similar."""
         pairs = staged(pairs.distinct())
         texts = staged(self.texts(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row")))))
         one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").cast("binary").alias(f"text_{x}")) for x in "ab")
-        return staged(pairs.join(wide(one), "a").join(wide(two), "b").mapInArrow(_similar, "a long, b long"))
+        return staged(pairs.join(wide(one), "a").join(wide(two), "b").mapInArrow(tidy(_similar), "a long, b long"))
 
     def groups(self):
         """(row, group): the least row of each set of rows joined by links."""
@@ -212,6 +212,7 @@ class Copies:
             for batch in batches:
                 for row in plain_rows(batch):
                     out += np.bincount(_cell(parts(shingles(row["blob"], row["lens"].to_numpy()))[1]), minlength=CELLS)
+            trim()
             return out
 
         shared = shards.spark.sparkContext.broadcast(add_up(self.rows, count, CELLS).astype(np.int64))  # CELLS numbers
@@ -242,7 +243,7 @@ class Copies:
                          pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)]), pa.array(slots + [None] * len(at), pa.binary())],
                         ["row", "n", "pos", "key", "s", "t", "slots"])
 
-        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(held, "row long, n long, pos long, key long, s long, t long, slots binary"))
+        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(tidy(held), "row long, n long, pos long, key long, s long, t long, slots binary"))
         shared.unpersist()
         rows = every.where("key is null").select("row", "s", "t", "n")
         sets = staged(rows.groupBy("s", "t", "n").agg(F.min("row").alias("row")))
@@ -266,9 +267,9 @@ class Copies:
         dealt = dealt.withColumn("p", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")))
         dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
         tasks = simhash.compare_tasks(shards.spark)
-        pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(_meeting, "a long, b long")
+        pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(tidy(_meeting), "a long, b long")
         one, two = (slots.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
-        pairs = pairs.distinct().join(wide(one), "a").join(wide(two), "b").mapInArrow(_possible, "a long, b long")
+        pairs = pairs.distinct().join(wide(one), "a").join(wide(two), "b").mapInArrow(tidy(_possible), "a long, b long")
         comp = components(links.unionByName(self.confirmed(pairs))).withColumnRenamed("id", "row")
         named = sets.join(wide(comp), "row", "left").select("s", "t", "n", F.coalesce("component_id", "row").alias("group"))
         return rows.join(wide(named), ["s", "t", "n"]).select("row", "group")
@@ -291,4 +292,4 @@ class Copies:
                     text = pa.array([row["blob"][at[k] : at[k + 1]].tobytes() for k in which.tolist()], pa.binary()).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([row["ids"].take(pa.array(which)), text, row["carried"].take(pa.array(which))], ["doc_id", "text", "carried"])
 
-        return rows.mapInArrow(run, "doc_id long, text string, carried string")
+        return rows.mapInArrow(tidy(run), "doc_id long, text string, carried string")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import Rolling, Shards, fill, mixed, pieces, plain_rows, route, row_orders, runs_of, settle_first, split_by, table, unpack
+from .common import Rolling, Shards, fill, mixed, pieces, plain_rows, route, row_orders, runs_of, settle_first, split_by, table, tidy, unpack
 
 LENGTH = 100
 GRAM = 50
@@ -303,7 +303,7 @@ def dedup(docs, carry=None):
     rows = shards.rows
     for name, answers in (("anchors", anchors), ("runs", runs), ("windows", windows)):
         rows = shards.with_answers(rows, answers, name)
-    out = rows.mapInArrow(cut, KEPT)
+    out = rows.mapInArrow(tidy(cut), KEPT)
     if more is None:
         return out.drop("carried", "kept_text")
     return out.withColumn("carried", F.from_json("carried", docs.select(more.alias("c")).schema[0].dataType))
