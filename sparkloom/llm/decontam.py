@@ -54,6 +54,9 @@ class Words:
     def once(self, chunk):
         """Places of the words whose term is not there earlier in the chunk: a term counts once, or junk would drown a passage."""
         key = chunk << TERM_BITS | self.term
+        if len(key) < 1 << 24:  # the place fits below the key, and a sort is cheaper than an order
+            key = np.sort(key << 24 | np.arange(len(key)))
+            return np.sort(key[runs_of(key >> 24)] & ((1 << 24) - 1))
         by = np.argsort(key)
         keep = np.ones(len(key), bool)
         keep[by[1:]] = key[by[1:]] != key[by[:-1]]
@@ -183,8 +186,9 @@ class Vocabulary:
         out = np.full(len(h), len(self.hashes), np.int32)
         for slot in self.slots:
             place = slot[at]
-            hit = known[place] == h
-            out[hit] = place[hit]
+            some = np.flatnonzero(place < len(self.hashes))
+            some = some[known[place[some]] == h[some]]
+            out[some] = place[some]
         return out
 
 
