@@ -1,11 +1,13 @@
 """Near copies of a stage on word shingles: SimHash links confirmed by exact Jaccard similarity, completed by a prefix filter.
 
 Two texts are linked at a similarity of 4/5 or more of their 5-word shingles. First the SimHash operator links fingerprints
-of 5-word shingles, and every such link is confirmed on the shingles themselves; this joins most of a group of copies by a
-linear number of pairs. Links beyond the radius of the fingerprints are found exactly: in one order of all shingles, rare
-ones first, linked texts share one of their first n - ceil(4n / 5) + 1 shingles, so texts that share such a shingle and are
-not joined yet are confirmed too. The order comes from a sketch of counts of fixed size; another order changes the cost and
-no result. Documents stay in their shards; only shared shingles, links and the texts of candidate pairs move.
+of 5-word shingles. Links beyond the radius of the fingerprints are found exactly: in one order of all shingles, rare ones
+first, linked texts share one of their first n - ceil(4n / 5) + 1 shingles, so texts that share such a shingle meet. Before
+all of them meet, texts are chained: a text has one such shingle in each of 16 ranges of hashes, its least, and meets only
+the next two texts there. Every pair is confirmed on the shingles themselves. The SimHash links and the chains join most of
+a group of copies by a number of pairs linear in its texts; then only texts not joined yet meet, each with all others, so
+chains lose no link. The order comes from a sketch of counts of fixed size; another order changes the cost and no result.
+Documents stay in their shards; only shared shingles, links and the texts of candidate pairs move.
 Null and empty texts have no shingles and link to one another; equal shingle sets collapse before any comparison; texts of
 fewer than N words are one shingle; an empty table gives no rows. Shingles are known by a hash of HASH_BITS.
 """
@@ -25,6 +27,7 @@ CELL_BITS = 18
 CELLS = 1 << CELL_BITS
 TILE = 512
 SLOTS = 128
+RANGE_BITS = 4  # a text stands in at most 2^RANGE_BITS chains
 HASH_BITS = np.uint64(50)  # beside the number of a document, which is below MOST_DOCS
 SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
@@ -55,6 +58,17 @@ def _cell(h):
     return (h >> np.uint64(int(HASH_BITS) - CELL_BITS)).astype(np.int64)
 
 
+def _after(doc, key):
+    """For the least key of each document and range of keys: the one after it, 0 if there is none; -1 for all other keys."""
+    both = (doc.astype(np.uint64) << HASH_BITS) | key
+    by = np.argsort(both)
+    part = both[by] >> (HASH_BITS - np.uint64(RANGE_BITS))
+    at, out = runs_of(part), np.full(len(key), -1, np.int64)
+    then = np.minimum(at + 1, len(by) - 1)
+    out[by[at]] = np.where((then > at) & (part[then] == part[at]), key[by[then]], np.uint64(0)).view(np.int64)
+    return out
+
+
 class Shard:
     """The prefixes of a staged shard's documents."""
 
@@ -134,6 +148,26 @@ def _similar(batches):
             yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo).filter(ok) for c in "ab"], ["a", "b"])
 
 
+def _chained(batches):
+    """Pairs of a row and the next two of its key and tile, if their sizes and places allow the overlap.
+
+    Rows come by (key, tile), alike ones next to each other.
+    """
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        new, rest = 0 if rest is None else len(rest), pdf.iloc[-2:]
+        key, tile, row, n, pos = (pdf[k].to_numpy() for k in ("key", "tile", "row", "n", "pos"))
+        found = []
+        for step in (1, 2):
+            x = np.arange(max(0, new - step), max(0, len(pdf) - step))  # a pair within the rest was met before
+            y = x + step
+            ok = (key[x] == key[y]) & (tile[x] == tile[y]) & (9 * np.minimum((n - pos)[x], (n - pos)[y]) >= 4 * (n[x] + n[y]))
+            found.append(np.stack([np.minimum(row[x], row[y])[ok], np.maximum(row[x], row[y])[ok]]))
+        a, b = np.unique(np.concatenate(found, 1), axis=1)
+        yield pd.DataFrame({"a": a, "b": b})
+
+
 def _meeting(batches):
     """Pairs of different components that share a prefix shingle and whose sizes and places still allow the overlap.
 
@@ -238,17 +272,30 @@ class Copies:
                     at = np.flatnonzero(bits[place])
                     one, two, slots = s.sets()
                     none = len(s.rows)
+                    after = _after(s.of[at], s.key[at])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.r_[s.rows, s.rows[s.of[at]]]), pa.array(np.r_[s.size, s.size[s.of[at]]].astype(np.int64)), pa.array([None] * none + s.pos[at].tolist(), pa.int64()),
-                         pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)]), pa.array(slots + [None] * len(at), pa.binary())],
-                        ["row", "n", "pos", "key", "s", "t", "slots"])
+                         pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)]), pa.array(slots + [None] * len(at), pa.binary()), pa.array([None] * none + after.tolist(), pa.int64())],
+                        ["row", "n", "pos", "key", "s", "t", "slots", "after"])
 
-        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(tidy(held), "row long, n long, pos long, key long, s long, t long, slots binary"))
+        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(tidy(held), "row long, n long, pos long, key long, s long, t long, slots binary, after long"))
         shared.unpersist()
         rows = every.where("key is null").select("row", "s", "t", "n")
         sets = staged(rows.groupBy("s", "t", "n").agg(F.min("row").alias("row")))
         lead = sets.select("row")
         slots = every.where("key is null").select("row", "n", "slots").join(wide(lead), "row", "left_semi")
+        keyed = every.where("key is not null").select("row", "n", "pos", "key", "after").join(wide(lead), "row", "left_semi")
+        tasks = simhash.compare_tasks(shards.spark)
+
+        def possible(pairs):
+            one, two = (slots.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
+            return pairs.distinct().join(wide(one), "a").join(wide(two), "b").mapInArrow(tidy(_possible), "a long, b long")
+
+        # chains of the rows of a shingle, in tiles where it has many
+        starts = keyed.where("after >= 0")
+        several = starts.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("c")).where("c > 1").drop("c")
+        chains = starts.join(wide(several), "key").withColumn("tile", F.pmod(F.xxhash64("row", "key"), F.col("tiles")).cast("int")).select("key", "tile", "after", "row", "n", "pos")
+        chained = chains.repartition(tasks, "key", "tile").sortWithinPartitions("key", "tile", "after", "row").mapInPandas(tidy(_chained), "a long, b long")
         # links of the SimHash operator between fingerprints, and of the rows of one fingerprint to their least one
         prints = staged(simhash.fingerprints(self.texts(lead), N).withColumnRenamed("doc_id", "row"))
         least = staged(prints.groupBy("fp").agg(F.min("row").alias("first")))
@@ -256,21 +303,17 @@ class Copies:
         a, b = (least.select(F.col("fp").alias(x), F.col("first").alias(f"row_{x}")) for x in "ab")
         near = near.join(wide(a), "a").join(wide(b), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
         same = prints.join(wide(least), "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-        links = self.confirmed(near.unionByName(same))
-        del near, same
+        links = self.confirmed(near.unionByName(same).unionByName(possible(chained)))
+        del near, same, chained
         trim()
         comp = components(links).withColumnRenamed("id", "row")
-        keyed = every.where("key is not null").select("row", "n", "pos", "key").join(wide(lead), "row", "left_semi").join(wide(comp), "row", "left").withColumn("c", F.coalesce("component_id", "row")).drop("component_id")
-        met = staged(keyed)
+        met = staged(keyed.drop("after").join(wide(comp), "row", "left").withColumn("c", F.coalesce("component_id", "row")).drop("component_id"))
         mixed_ = met.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi").select("key", "tiles")
         dealt = met.join(wide(mixed_), "key").withColumn("i", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
         dealt = dealt.withColumn("p", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")))
         dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
-        tasks = simhash.compare_tasks(shards.spark)
         pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(tidy(_meeting), "a long, b long")
-        one, two = (slots.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
-        pairs = pairs.distinct().join(wide(one), "a").join(wide(two), "b").mapInArrow(tidy(_possible), "a long, b long")
-        comp = components(links.unionByName(self.confirmed(pairs))).withColumnRenamed("id", "row")
+        comp = components(links.unionByName(self.confirmed(possible(pairs)))).withColumnRenamed("id", "row")
         named = sets.join(wide(comp), "row", "left").select("s", "t", "n", F.coalesce("component_id", "row").alias("group"))
         return rows.join(wide(named), ["s", "t", "n"]).select("row", "group")
 
