@@ -27,6 +27,7 @@ CELL_BITS = 18
 CELLS = 1 << CELL_BITS
 TILE = 512
 SLOTS = 128
+EARLY = ["e0", "e1", "e2"]  # the first keys of a text, in the order of all shingles
 RANGE_BITS = 4  # a text stands in at most 2^RANGE_BITS chains
 HASH_BITS = np.uint64(50)  # beside the number of a document, which is below MOST_DOCS
 SHARD_BYTES = 2 << 20
@@ -69,6 +70,13 @@ def _after(doc, key):
     return out
 
 
+def _early(doc, key):
+    """For each key the first ones of its document, as many as EARLY has, the last again where there are fewer."""
+    begin = runs_of(doc)
+    size = np.diff(np.r_[begin, len(doc)])
+    return [np.repeat(key[begin + np.minimum(k, size - 1)], size) for k in range(len(EARLY))]
+
+
 class Shard:
     """The prefixes of a staged shard's documents."""
 
@@ -172,11 +180,19 @@ def _meeting(batches):
     """Pairs of different components that share a prefix shingle and whose sizes and places still allow the overlap.
 
     Rows come by (key, lo, hi). In a tile of its own every row meets those after it; in a pair of tiles those of the other.
+    Where the first keys of two rows have one in common, the first of these is the first of all they have in common, and
+    the pair is given there alone; other pairs are given at every key they share.
     """
     def meet(p, x, y):
-        n, left, c, row = (p[k].to_numpy() for k in ("n", "left", "c", "row"))
+        n, left, c, row, key, *early = (p[k].to_numpy() for k in ("n", "left", "c", "row", "key", *EARLY))
         ok = (c[x] != c[y]) & (9 * np.minimum(left[x], left[y]) >= 4 * (n[x] + n[y]))
-        x, y = row[x[ok]], row[y[ok]]
+        x, y = x[ok], y[ok]
+        here, known = np.ones(len(x), bool), np.zeros(len(x), bool)
+        for one in early:
+            new = ~known & np.logical_or.reduce([one[x] == two[y] for two in early])
+            here[new] = (one[x] == key[x])[new]
+            known |= new
+        x, y = row[x[here]], row[y[here]]
         return np.stack([np.minimum(x, y), np.maximum(x, y)])
 
     names, rest = ["key", "lo", "hi"], None
@@ -272,19 +288,19 @@ class Copies:
                     at = np.flatnonzero(bits[place])
                     one, two, slots = s.sets()
                     none = len(s.rows)
-                    after = _after(s.of[at], s.key[at])
+                    after, early = _after(s.of[at], s.key[at]), _early(s.of[at], s.key[at].view(np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.r_[s.rows, s.rows[s.of[at]]]), pa.array(np.r_[s.size, s.size[s.of[at]]].astype(np.int64)), pa.array([None] * none + s.pos[at].tolist(), pa.int64()),
-                         pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)]), pa.array(slots + [None] * len(at), pa.binary()), pa.array([None] * none + after.tolist(), pa.int64())],
-                        ["row", "n", "pos", "key", "s", "t", "slots", "after"])
+                         pa.array([None] * none + s.key[at].view(np.int64).tolist(), pa.int64()), pa.array(np.r_[one, np.zeros(len(at), np.int64)]), pa.array(np.r_[two, np.zeros(len(at), np.int64)]), pa.array(slots + [None] * len(at), pa.binary()), *(pa.array([None] * none + e.tolist(), pa.int64()) for e in (after, *early))],
+                        ["row", "n", "pos", "key", "s", "t", "slots", "after", *EARLY])
 
-        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(tidy(held), "row long, n long, pos long, key long, s long, t long, slots binary, after long"))
+        every = staged(shards.with_answers(self.rows, both, "both").mapInArrow(tidy(held), "row long, n long, pos long, key long, s long, t long, slots binary, after long, " + ", ".join(f"{e} long" for e in EARLY)))
         shared.unpersist()
         rows = every.where("key is null").select("row", "s", "t", "n")
         sets = staged(rows.groupBy("s", "t", "n").agg(F.min("row").alias("row")))
         lead = sets.select("row")
         slots = every.where("key is null").select("row", "n", "slots").join(wide(lead), "row", "left_semi")
-        keyed = every.where("key is not null").select("row", "n", "pos", "key", "after").join(wide(lead), "row", "left_semi")
+        keyed = every.where("key is not null").select("row", "n", "pos", "key", "after", *EARLY).join(wide(lead), "row", "left_semi")
         tasks = simhash.compare_tasks(shards.spark)
 
         def possible(pairs):
@@ -311,7 +327,7 @@ class Copies:
         mixed_ = met.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("lo < hi").select("key", "tiles")
         dealt = met.join(wide(mixed_), "key").withColumn("i", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
         dealt = dealt.withColumn("p", F.explode(F.expr("transform(sequence(0, tiles - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j)))")))
-        dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c")
+        dealt = dealt.select("key", "p.lo", "p.hi", "i", "row", "n", "pos", "c", *EARLY)
         pairs = dealt.repartition(tasks, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInPandas(tidy(_meeting), "a long, b long")
         comp = components(links.unionByName(self.confirmed(possible(pairs)))).withColumnRenamed("id", "row")
         named = sets.join(wide(comp), "row", "left").select("s", "t", "n", F.coalesce("component_id", "row").alias("group"))

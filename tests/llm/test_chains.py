@@ -43,3 +43,18 @@ def test_keys_that_start_chains():
     assert jaccard._after(np.array([0, 0, 0, 1, 0]), key).tolist()[2:4] == [0, 0]
     assert sorted(jaccard._after(np.array([0, 0, 0]), key[:3]).tolist()) == [-1, 0, 5]
     assert jaccard._after(np.zeros(0, np.int64), np.zeros(0, np.uint64)).tolist() == []
+
+
+def test_a_pair_is_given_once():
+    r = random.Random(13)
+    docs, rows, want = [sorted(r.sample(range(12), r.randint(1, 7))) for _ in range(12)], [], set()
+    for row, keys in enumerate(docs):
+        doc, key = np.zeros(len(keys), np.int64), np.array(keys)
+        rows += [(k, 0, 0, 0, row, 1, 0, row, *e) for k, *e in zip(keys, *(x.tolist() for x in jaccard._early(doc, key)))]
+        want |= {(a, row) for a in range(row) if set(docs[a]) & set(keys)}
+    pdf = pd.DataFrame(sorted(rows), columns=["key", "lo", "hi", "i", "row", "n", "pos", "c", *jaccard.EARLY])
+    by_key = [p for _, p in pdf.groupby("key")]
+    got = [tuple(x) for p in by_key for q in jaccard._meeting(iter([p])) for x in q.to_numpy().tolist()]
+    assert set(got) == want
+    early = [set(d[: len(jaccard.EARLY)]) for d in docs]
+    assert all(got.count((a, b)) == 1 for a, b in want if early[a] & early[b])
