@@ -7,15 +7,33 @@ APP_PREFIX = "application_"
 KINDS = {"memory": 1, "localfile": 2, "hdfs": 4}
 
 
-def human_bytes(n):
-    """1536 as '1.50 KiB'; whole bytes below 1024."""
+def human_bytes(n, largest="EiB"):
+    """1536 as '1.50 KiB'; whole bytes below 1024, null for null. Units end with the largest.
+
+    The two digits are those of the double n / 1024^k, rounded by its exact value and at a tie to the even digit, as printf
+    does; format_string rounds its shortest text and ties up.
+    """
+    n = n.cast("long")
+    exact = F.coalesce(n.cast("double").try_cast("long"), n)
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for power, unit in enumerate(UNITS[1:], 1):
-        scaled = F.concat(F.format_string("%.2f", n / float(1024**power)), F.lit(f" {unit}"))
-        out = out.otherwise(scaled) if power == len(UNITS) - 1 else out.when(n < 1024 ** (power + 1), scaled)
+    units = UNITS[1 : UNITS.index(largest) + 1]
+    for power, unit in enumerate(units, 1):
+        scaled = F.concat(_two_digits(exact, 10 * power), F.lit(f" {unit}"))
+        out = out.otherwise(scaled) if power == len(units) else out.when(n < 1024 ** (power + 1), scaled)
     return out
 
 
+def _two_digits(n, bits):
+    """n / 2^bits with two digits; n is a double's value, so beyond 2^60 its low eight bits are zero."""
+    if bits == 60:
+        n, bits = F.shiftright(n, 8), 52
+    rest = n.bitwiseAND(F.lit((1 << bits) - 1)) * 100
+    cut, over, half = F.shiftright(rest, bits), rest.bitwiseAND(F.lit((1 << bits) - 1)), 1 << (bits - 1)
+    up = (over > half) | ((over == half) & (cut % 2 == 1))
+    hundredths = F.shiftright(n, bits) * 100 + cut + up.cast("long")
+    return F.concat(F.call_function("div", hundredths, F.lit(100)).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+
+
 def parsed_size(text):
     """Bytes of '14M', '20g', '512' or '1.5 GiB', powers of 1024; null for anything else."""
     t = F.upper(F.trim(text))
