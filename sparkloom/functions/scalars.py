@@ -45,12 +45,18 @@ def parsed_size(text):
 
 
 def whole_minutes(ms):
-    """Milliseconds as whole minutes in a double; the division drops the rest first."""
-    return F.floor(ms / 60000).cast("double")
+    """Milliseconds as whole minutes in a double; the division drops the rest first, in whole numbers."""
+    return _floor_div(ms, 60000).cast("double")
 
 
 def whole_gb(n):
-    return F.floor(n / float(1 << 30)).cast("double")
+    return _floor_div(n, 1 << 30).cast("double")
+
+
+def _floor_div(n, by):
+    """n / by rounded down; a double quotient would be rounded up near a whole number from some 2^53 on."""
+    n, by = n.cast("long"), F.lit(by).cast("long")
+    return F.call_function("div", n, by) - (n % by < 0).cast("long")
 
 
 def app_id(raw):
