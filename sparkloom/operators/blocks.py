@@ -104,24 +104,6 @@ def result_reports(reports):
     return p.withColumn("record_number", one).select(*UID, "task_attempt_id", F.explode("block_ids").alias("block_id"), "record_number")
 
 
-def combined_blocks(requests):
-    """Blocks of requests(app_id, shuffle_id, partition_ids, block_counts, block_ids, lengths, uncompress_lengths, crcs,
-    task_attempt_ids, data): the columns are cut by partition and the data by running length; uneven columns are an error."""
-    same = F.lit(True)
-    for c in ("lengths", "uncompress_lengths", "crcs", "task_attempt_ids"):
-        same = same & (F.size(c) == F.size("block_ids"))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    fits = same & (F.size("partition_ids") == F.size("block_counts")) & (total("block_counts") == F.size("block_ids")) & (total("lengths") <= F.octet_length("data"))
-    owners = F.flatten(F.transform(F.arrays_zip("partition_ids", "block_counts"), lambda x: F.array_repeat(x["partition_ids"], x["block_counts"])))
-    r = requests.withColumn("owners", F.when(fits, owners).otherwise(F.raise_error(F.lit("the columns of a combined request do not fit"))))
-    r = r.withColumn("request", F.monotonically_increasing_id())
-    r = r.select("app_id", "shuffle_id", "request", "data", F.posexplode(F.arrays_zip("owners", "block_ids", "lengths", "uncompress_lengths", "crcs", "task_attempt_ids")).alias("at", "b"))
-    before = Window.partitionBy("request").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("begin", F.coalesce(F.sum("b.lengths").over(before), F.lit(0)))
-    return r.select("app_id", "shuffle_id", F.col("b.owners").alias("partition_id"), F.col("b.block_ids").alias("block_id"), F.col("b.lengths").alias("length"), F.col("b.uncompress_lengths").alias("uncompress_length"),
-                    F.col("b.crcs").alias("crc"), F.col("b.task_attempt_ids").alias("task_attempt_id"), F.expr("substring(data, cast(begin + 1 as int), cast(b.lengths as int))").alias("data"))
-
-
 def partition_sizes(blocks, split_bytes, limit_bytes):
     """Bytes, block count, huge and split flag of each partition; a split threshold must lie below the limit."""
     if split_bytes >= limit_bytes:
@@ -161,7 +143,11 @@ def result_reports(reports):
 
 def combined_blocks(requests):
     """Blocks of requests(app_id, shuffle_id, partition_ids, block_counts, block_ids, lengths, uncompress_lengths, crcs,
-    task_attempt_ids, data): the columns are cut by partition and the data by running length; uneven columns are an error."""
+    task_attempt_ids, data): the columns are cut by partition and the data by running length; uneven columns are an error.
+
+    The running length takes as many passes as the number of blocks has bits. The data are read from the row once and held
+    by a lambda while they are cut; a column would be copied whole for each block.
+    """
     same = F.lit(True)
     for c in ("lengths", "uncompress_lengths", "crcs", "task_attempt_ids"):
         same = same & (F.size(c) == F.size("block_ids"))
@@ -169,10 +155,12 @@ def combined_blocks(requests):
     fits = same & (F.size("partition_ids") == F.size("block_counts")) & (total("block_counts") == F.size("block_ids")) & (total("lengths") <= F.octet_length("data"))
     owners = F.flatten(F.transform(F.arrays_zip("partition_ids", "block_counts"), lambda x: F.array_repeat(x["partition_ids"], x["block_counts"])))
     r = requests.withColumn("owners", F.when(fits, owners).otherwise(F.raise_error(F.lit("the columns of a combined request do not fit"))))
-    ends = F.aggregate("lengths", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x)))
-    r = r.withColumn("ends", ends).select("app_id", "shuffle_id", "data", F.inline(F.arrays_zip("owners", "block_ids", "lengths", "uncompress_lengths", "crcs", "task_attempt_ids", "ends")))
-    return r.select("app_id", "shuffle_id", F.col("owners").alias("partition_id"), F.col("block_ids").alias("block_id"), F.col("lengths").alias("length"), F.col("uncompress_lengths").alias("uncompress_length"),
-                    F.col("crcs").alias("crc"), F.col("task_attempt_ids").alias("task_attempt_id"), F.expr("substring(data, cast(ends - lengths + 1 as int), lengths)").alias("data"))
+    ends = F.expr("aggregate(sequence(0, length(bin(size(lengths))) - 1), cast(lengths as array<long>), (a, k) -> transform(a, (x, i) -> x + coalesce(get(a, i - shiftleft(1, k)), 0L)))")
+    columns = F.arrays_zip("owners", "block_ids", "lengths", "uncompress_lengths", "crcs", "task_attempt_ids", "ends")
+    block = lambda x, d: F.struct(x["owners"].alias("partition_id"), x["block_ids"].alias("block_id"), x["lengths"].alias("length"), x["uncompress_lengths"].alias("uncompress_length"),
+                                  x["crcs"].alias("crc"), x["task_attempt_ids"].alias("task_attempt_id"), F.substring(d, (x["ends"] - x["lengths"] + 1).cast("int"), x["lengths"].cast("int")).alias("data"))
+    rows = F.transform(F.array("data"), lambda d: F.transform(columns, lambda x: block(x, d)))[0]
+    return r.withColumn("ends", ends).select("app_id", "shuffle_id", F.inline(rows))
 
 
 def app_history(sizes):
