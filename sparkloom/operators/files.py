@@ -22,8 +22,8 @@ def offsets(blocks, pointers=None):
 
 def data_files(blocks):
     """(app_id, shuffle_id, partition_id, data) of blocks(place, data); a partition's size is bounded by its split limit."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("place", "data"))), lambda x: x["data"])
-    return blocks.groupBy(*UID).agg(rows.alias("parts")).select(*UID, F.expr("aggregate(parts, cast('' as binary), (a, x) -> a || x)").alias("data"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("place", "data"))), lambda x: x["data"])
+    return blocks.groupBy(*UID).agg(rows.alias("parts"), F.count_if(F.col("data").isNull()).alias("gaps")).select(*UID, F.when(F.col("gaps") == 0, joined("parts")).alias("data"))
 
 
 def joined(parts):
@@ -31,9 +31,15 @@ def joined(parts):
     return F.array_join(F.transform(parts, lambda x: x.cast("string")), "").cast("binary")
 
 
+def _held(column, read):
+    """read of a binary column, taken from the row once; inside a lambda the column itself would be copied for each element."""
+    return F.transform(F.array(column), read)[0]
+
+
 def records(raw):
     """The decoded records of raw(.., index binary); a partial record at the end is ignored."""
-    at = F.expr(f"if(octet_length(index) < {RECORD}, array(), transform(sequence(0, octet_length(index) div {RECORD} - 1), i -> substring(index, cast(i * {RECORD} + 1 as int), {RECORD})))")
+    at = _held("index", lambda d: F.when(F.octet_length(d) < RECORD, F.array().cast("array<binary>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(d) / RECORD).cast("int") - 1), lambda i: F.substring(d, i * RECORD + 1, F.lit(RECORD)))))
     rest = [c for c in raw.columns if c != "index"]
     return raw.select(*rest, F.explode(at).alias("r")).select(*rest, decode_index(F.col("r")).alias("r")).select(*rest, "r.*")
 
@@ -41,10 +47,10 @@ def records(raw):
 def validate(index, files):
     """(app_id, shuffle_id, partition_id, n_blocks, whole, bad): whether the lengths add up to the data, and how many blocks
     have another checksum than index(offset, length, crc) says."""
-    j = index.select(*UID, "offset", "length", "crc").join(files, list(UID))
-    bad = F.crc32(F.expr("substring(data, cast(offset + 1 as int), cast(length as int))")) != F.col("crc")
-    out = j.groupBy(*UID).agg(F.count("*").alias("n_blocks"), F.sum("length").alias("indexed"), F.max(F.octet_length("data")).alias("there"), F.count_if(bad).alias("bad"))
-    return out.select(*UID, "n_blocks", (F.col("indexed") == F.col("there")).alias("whole"), "bad")
+    r = index.groupBy(*UID).agg(F.count("*").alias("n_blocks"), F.sum("length").alias("indexed"), F.collect_list(F.struct("offset", "length", "crc")).alias("records"))
+    other = lambda d: lambda x: F.crc32(F.substring(d, (x["offset"] + 1).cast("int"), x["length"].cast("int"))) != x["crc"]
+    bad = _held("data", lambda d: F.size(F.filter("records", other(d))))
+    return r.join(files, list(UID)).select(*UID, "n_blocks", (F.col("indexed") == F.octet_length("data")).alias("whole"), bad.cast("long").alias("bad"))
 
 
 def consistent(files):
