@@ -1,4 +1,6 @@
-"""Analytic queries over the relational tables; one text is both the Spark query and its SQL check."""
+"""Analytic queries over the relational tables; one text is both the Spark query, rewritten where Spark needs it, and its SQL check."""
+from . import dialect
+
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 M = "cast(sum(cast({} as decimal(18,2))) as decimal(28,2))"
@@ -52,7 +54,7 @@ def _run(sql):
     def query(spark, sf_dir):
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(sql)
+        return spark.sql(dialect.rewrite(sql))
 
     return query
 
